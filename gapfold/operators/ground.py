@@ -97,4 +97,5 @@ def plane_frame(spark, p: Plane) -> DataFrame:
 def plane_surface(spark, plane: tuple[float, float, float], x0: int, x1: int, y0: int, y1: int) -> DataFrame:
     """The plane on a lattice of whole metres."""
     xs = spark.range(x0, x1 + 1).select(F.col("id").cast("double").alias("x"))
-    return xs.withColumn("y", F.explode(F.sequence(F.lit(y0), F.lit(y1))).cast("double")).withColumn("z", plane[0] + plane[1] * F.col("x") + plane[2] * F.col("y"))
+    ys = xs.withColumn("y", F.explode(F.sequence(F.lit(y0), F.lit(y1)))).withColumn("y", F.col("y").cast("double"))
+    return ys.withColumn("z", plane[0] + plane[1] * F.col("x") + plane[2] * F.col("y"))

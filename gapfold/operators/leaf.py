@@ -37,6 +37,13 @@ def target_count(legacy: bool = False) -> Column:
     return 2 - a + b if legacy else 2 - a - b
 
 
+def with_steps(shots: DataFrame, new: float = 25600.0, old: float = 10000.0) -> DataFrame:
+    """shots plus `nsteps`, the encoder steps of a turn: scans of newer firmware
+    have a second intensity."""
+    steps = shots.groupBy("scan_id").agg(F.when(F.max(F.col("intensity2").isNotNull()), new).otherwise(old).alias("nsteps"))
+    return shots.join(steps, "scan_id")
+
+
 def scan_type(scan_id: Column) -> Column:
     return F.regexp_extract(scan_id, r"^\w{8}_\d{4}_(hemi|hinge|ground)_", 1)
 

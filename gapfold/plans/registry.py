@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["gapfold.plans.data"]
+MODULES = [f"gapfold.plans.{m}" for m in ("data", "profiles", "points", "grids", "voxels", "leaf")]
 
 
 def queries() -> dict:
