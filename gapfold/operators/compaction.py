@@ -152,8 +152,12 @@ def surplus_records(fragments: DataFrame) -> DataFrame:
 
 
 def first_records(fragments: DataFrame) -> DataFrame:
-    """Every record exactly once, at its first place."""
-    return fragment_records(fragments).join(surplus_records(fragments), ["fragment_id", "line_no"], "left_anti")
+    """Every record exactly once, as it stands at its first place. One aggregate
+    that combines before its shuffle; a fragment row that is repeated counts
+    once."""
+    rec = fragment_records(fragments).withColumn("key", record_key(F.col("record")))
+    first = rec.groupBy("serial_number", "scan_count", "key").agg(F.min(F.struct("fragment_id", "line_no", "record")).alias("f"))
+    return first.select("serial_number", "scan_count", "f.*")
 
 
 def compact_fragments(fragments: DataFrame, out: str, packing: Packing = Packing()) -> dict:

@@ -43,11 +43,11 @@ CUTOFF = 8_192
 MERGE_ABOVE = 500_000
 
 
-def local_ranks(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def local_ranks(n: np.ndarray, most: int, every: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """For groups of n sorted rows: group number and 1-based rank of each
-    proposal. A group proposes one value per 16 rows, at most `most`, evenly
-    spaced (a single one is the median), and its largest value."""
-    m = np.clip(n // 16, 1, most)
+    proposal. A group proposes one value per `every` rows, at most `most`,
+    evenly spaced (a single one is the median), and its largest value."""
+    m = np.clip(n // every, 1, most)
     group = np.repeat(np.arange(len(n)), m + 1)
     first = np.cumsum(m + 1) - (m + 1)
     i = np.arange(len(group)) - first[group] + 1
@@ -57,7 +57,7 @@ def local_ranks(n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return group[~same], rank[~same]
 
 
-def _proposer(levels: list[list[str]], values: list[str], most: int, chunk_rows: int):
+def _proposer(levels: list[list[str]], values: list[str], most: int, chunk_rows: int, every: int):
     """mapInArrow kernel: one row per proposal.
 
     v: the value; low: rows it certainly adds to the rank (rows up to v of its
@@ -82,7 +82,7 @@ def _proposer(levels: list[list[str]], values: list[str], most: int, chunk_rows:
                 groups, start, n = np.unique(cc, return_index=True, return_counts=True)
                 if not len(groups):
                     continue
-                g, r = local_ranks(n, most)
+                g, r = local_ranks(n, most, every)
                 head = np.r_[True, g[1:] != g[:-1]]
                 tail = np.r_[head[1:], True]
                 low = r - np.where(head, 0, np.r_[0, r[:-1]])
@@ -118,9 +118,9 @@ def _flat(x):
     return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
 
 
-def propose(df: DataFrame, levels: list[list[str]], values: list[str], proposals: int = PROPOSALS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def propose(df: DataFrame, levels: list[list[str]], values: list[str], proposals: int = PROPOSALS, chunk_rows: int = CHUNK_ROWS, every: int = 16) -> DataFrame:
     """Weighted local order statistics of each chunk, per level of grouping."""
-    run, keys = _proposer(levels, values, proposals, chunk_rows)
+    run, keys = _proposer(levels, values, proposals, chunk_rows, every)
     schema = T.StructType([df.schema[k] for k in keys] + [
         T.StructField("level", T.IntegerType()), T.StructField("variable", T.StringType()), T.StructField("v", T.DoubleType()),
         *[T.StructField(c, T.LongType()) for c in ("low", "high", "base", "n")], T.StructField("chunk", T.IntegerType())])
@@ -163,12 +163,14 @@ def merged(props: DataFrame, group: list[str], above: int = MERGE_ABOVE, keep: i
 
 
 def _bounds(props: DataFrame, group: list[str]) -> DataFrame:
-    """Per distinct proposal: certain rank `l` and greatest possible rank `u`."""
+    """Per distinct proposal v: at least `l` and at most `u` rows are <= v, and at
+    most `under` are < v."""
     by_value = props.groupBy(*group, "v").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("base").alias("base"), F.sum("n").alias("n"))
     along = Window.partitionBy(*group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*group)
+    u = F.sum("high").over(along) + F.sum("base").over(whole)
     return by_value.select(
-        *group, "v", F.sum("low").over(along).alias("l"), (F.sum("high").over(along) + F.sum("base").over(whole)).alias("u"), F.sum("n").over(whole).alias("total"))
+        *group, "v", F.sum("low").over(along).alias("l"), u.alias("u"), (u - F.col("high")).alias("under"), F.sum("n").over(whole).alias("total"))
 
 
 def _same(a: str, b: str, keys: list[str]) -> Column:
@@ -294,23 +296,22 @@ def percentiles(df: DataFrame, levels: list[list[str]], columns: list[str], perm
 
 def summaries(df: DataFrame, keys: list[str], columns: list[str], proposals: int = PROPOSALS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """A summary per group and column that can be stored and merged: rows of
-    keys, col, v, low, high, base, n."""
-    return propose(df, [keys], columns, proposals, chunk_rows).drop("level").withColumnRenamed("variable", "col")
+    keys, col, v, low, high, base, n. At most `proposals` + 1 rows per chunk and
+    group, or every second value of smaller ones."""
+    return propose(df, [keys], columns, proposals, chunk_rows, 2).drop("level").withColumnRenamed("variable", "col")
 
 
 def merge_summaries(parts: DataFrame, keys: list[str], permilles: tuple[int, ...] = PERMILLES) -> DataFrame:
     """Percentiles from summaries of any parts put together: keys, col, n,
-    permille, value, rank_error (greatest possible error as a share of n)."""
+    permille, value, rank_error (greatest possible error as a share of n; 0 means
+    exact)."""
     g = [*keys, "col"]
     b = _bounds(merged(parts, g), g)
-    ask = b.select(*g, "v", "l", "u", "total", F.explode(F.array(*map(F.lit, permilles))).alias("permille")).withColumn("k", rank_of(F.col("permille"), F.col("total")))
-    best = ask.where("l >= k").groupBy(*g, "permille").agg(F.min(F.struct("v", "l", "u", "k", "total")).alias("x"))
-    lower = ask.where("u < k").groupBy(*g, "permille").agg(F.max("l").alias("lower"))
-    # the value's rank lies between the certain rank of the proposal before it and its own greatest one
-    a, c = best.alias("a"), lower.alias("c")
-    err = F.greatest(F.col("x.u") - F.col("x.k"), F.col("x.k") - F.coalesce("lower", F.lit(0))) / F.col("x.total")
-    return a.join(c, _same("a", "c", [*g, "permille"]), "left").select(
-        *[F.col(f"a.{k}").alias(k) for k in g], F.col("x.total").alias("n"), F.col("a.permille").alias("permille"), F.col("x.v").alias("value"), err.alias("rank_error"))
+    ask = b.select(*g, "v", "l", "under", "total", F.explode(F.array(*map(F.lit, permilles))).alias("permille")).withColumn("k", rank_of(F.col("permille"), F.col("total")))
+    best = ask.where("l >= k").groupBy(*g, "permille").agg(F.min(F.struct("v", "under", "k", "total")).alias("x"))
+    # at least k rows are <= the value; it is off by the rows that may be below it, from the k-th on
+    err = F.greatest(F.col("x.under") + 1 - F.col("x.k"), F.lit(0)) / F.col("x.total")
+    return best.select(*g, F.col("x.total").alias("n"), "permille", F.col("x.v").alias("value"), err.alias("rank_error"))
 
 
 def point_percentiles(points: DataFrame) -> DataFrame:

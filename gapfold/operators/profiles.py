@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gapfold.functions import expr
+from gapfold.session import written
 
 METHODS = ("WEIGHTED", "FIRST", "ALL", "FIRSTLAST")
 
@@ -149,6 +150,8 @@ def pai_linear(gap: DataFrame, cube: Cube) -> DataFrame:
 def pai_weighted(gap: DataFrame, cube: Cube, total_pai: float | None = None) -> DataFrame:
     """hi, pai: solid-angle weighted share of each height in the total PAI
     (default: the greatest hinge PAI); rings with pgap(top) < 1 only."""
+    if total_pai is None:
+        gap = written(gap, "gap")
     top = gap.where(F.col("hi") == cube.nh - 1).where("pgap < 1").select("zi", expr.guarded_ln(F.col("pgap")).alias("den"))
     size = math.radians(cube.zres)
     w = F.element_at(F.array(*[F.lit(2 * math.pi * math.sin(cube.zenith(i)) * size) for i in range(cube.nz)]), F.col("zi") + 1)
@@ -171,7 +174,9 @@ def pavd(profile: DataFrame, hres: float, central: bool = True, order: str = "hi
 
 def plant_profiles(gap: DataFrame, cube: Cube) -> DataFrame:
     """One row per height: Height, HingePAI, LinearPAI, LinearMLA, WeightedPAI
-    and the PAVD of each."""
+    and the PAVD of each. The gap table (rings x heights) feeds four models, so
+    it is written once instead of read from the facts four times."""
+    gap = written(gap, "gap")
     h = pavd(pai_hinge(gap, cube), cube.hres).select("hi", F.col("pai").alias("HingePAI"), F.col("pavd").alias("HingePAVD"))
     li = pavd(pai_linear(gap, cube), cube.hres).select("hi", F.col("pai").alias("LinearPAI"), F.col("mla").alias("LinearMLA"), F.col("pavd").alias("LinearPAVD"))
     w = pavd(pai_weighted(gap, cube), cube.hres).select("hi", F.col("pai").alias("WeightedPAI"), F.col("pavd").alias("WeightedPAVD"))

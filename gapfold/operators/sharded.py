@@ -17,7 +17,7 @@ def with_previous(df: DataFrame, keys: list[str], shard: Column, order: list[str
 
     Rows of a key are ordered by `order`; `shard` must not decrease along it.
     The first row of a key gets NULL. Ties in `order` are broken by nothing, so
-    `order` should be total. Empty input gives empty output.
+    `order` should be total. NULL keys are a key. Empty input gives empty output.
     """
     s = "__shard"
     item = F.struct(*carry)
@@ -26,8 +26,8 @@ def with_previous(df: DataFrame, keys: list[str], shard: Column, order: list[str
     inner = base.withColumn(name, F.lag(item).over(within))
     tails = base.groupBy(*keys, s).agg(F.max_by(item, F.struct(*order)).alias("__tail"))
     halo = tails.withColumn("__halo", F.lag("__tail").over(Window.partitionBy(*keys).orderBy(s))).drop("__tail")
-    return (
-        inner.join(halo, [*keys, s], "left")
-        .withColumn(name, F.coalesce(name, "__halo"))
-        .drop(s, "__halo")
-    )
+    same = F.lit(True)
+    for k in [*keys, s]:
+        same = same & F.col(f"__a.{k}").eqNullSafe(F.col(f"__b.{k}"))
+    both = inner.alias("__a").join(halo.alias("__b"), same, "left")
+    return both.select(*[F.col(f"__a.{c}") for c in df.columns], F.coalesce(F.col(f"__a.{name}"), F.col("__b.__halo")).alias(name))
