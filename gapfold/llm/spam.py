@@ -69,6 +69,7 @@ _WORD = re.compile(r"[^\W_]+")
 _CODE = re.compile(
     r"[;{}]\s*$|^\s*[{}\[\]()]|\w\(|\)\s*[:{]?$|(?<![=<>!])=(?![=>])|[=!]=|&&|\|\||->|::|\$\{|^\s*\"[^\"]*\"\s*:|^\s*'[^']*'\s*:|^\s*(?:msgid|msgstr)\b|^\s*[\w.-]+\s*:(?:\s|$)|^\s*(?:def|class|return|import|from|func|if|for|while|else|elif|end|var|let|const|public|private|static|void|SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|FROM|WHERE|GROUP|ORDER|JOIN|echo|done|fi|then|export|package|type|struct|go|defer|memset|try|except|finally|with|raise|pass|break|continue|switch|case)\b"
 )
+_DATA = re.compile(r"\s*(?:\"[^\"]*\"|'[^']*')\s*:|\s*[\w.-]+\s*=\s*[\"'\[{\d]|\s*INSERT\s+INTO\b", re.I)
 _IDENT = re.compile(r"\s*(?:[a-z0-9]+(?:[A-Z][a-z0-9]*)+|\w*_\w+|[a-z]+\d+)\s*[,;]?\s*$")
 _DEFINITION = re.compile(r"\s*\[[^\]\s]+\]:\s*(?:https?://|www\.)", re.I)
 _PATH = re.compile(r"[#*\s]*[\w.@-]*(?:/[\w.@-]+)+/?\s*(?:\|.*)?$")
@@ -143,14 +144,14 @@ def symbol(line: str) -> tuple[str, int]:
     pieces = [p for p in _SPLIT.split(bare) if p.strip()] if m >= 3 else []
     if _tags(bare, pieces):
         return "T", n
-    if bare == line and _CODE.search(line) and promo * 5 < m:
+    if _DATA.match(line) or bare == line and _CODE.search(line) and promo * 5 < m:
         return "C", n
     if m >= 5:
         count = Counter(w for w in low if len(w) > 3)
-        top, times = count.most_common(1)[0] if count else ("", 0)
+        often = [c for _, c in count.most_common(2) if c >= 3]
         if "\"" in line or "'" in line and "(" in line:
-            times = 0  # a repeated word inside a literal
-        if times >= 3 and times * 5 >= m or promo * 5 >= m and promo >= 2:
+            often = []  # a repeated word inside a literal
+        if often and often[0] * 5 >= m or len(often) == 2 and sum(often) * 4 >= m or promo * 5 >= m and promo >= 2:
             return "K", n
     elif m >= 2 and promo * 2 >= m:
         return "K", n
