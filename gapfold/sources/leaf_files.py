@@ -37,7 +37,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     f = spark.read.format("binaryFile").load(path).select("path", "content")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return f.select(F.xxhash64("path").alias("file_id"), name.alias("file_name"), F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), r"\r?\n", -1)).alias("pos", "line_text")).select(
+    return f.select(F.xxhash64("path").alias("file_id"), name.alias("file_name"), F.posexplode(F.split(F.col("content").cast("string"), r"\r?\n", -1)).alias("pos", "line_text")).select(
         "file_id", "file_name", (F.col("pos") + 1).alias("line_no"), "line_text")
 
 

@@ -18,7 +18,7 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def _lines(files: DataFrame) -> DataFrame:
-    text = F.split(F.decode("content", F.lit("UTF-8")), r"\r?\n", -1)
+    text = F.split(F.col("content").cast("string"), r"\r?\n", -1)
     return files.select(F.xxhash64("path").alias("file_id"), F.posexplode(text).alias("pos", "line_text")).select("file_id", (F.col("pos") + 1).alias("line_no"), "line_text")
 
 
