@@ -15,6 +15,7 @@ session is left as it was.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,19 @@ def packing_session(spark: SparkSession, packing: Packing) -> SparkSession:
     return s
 
 
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """The settings hold for the actions inside, then the old ones again."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -169,7 +183,11 @@ def compact_fragments(fragments: DataFrame, out: str, packing: Packing = Packing
     spark = fragments.sparkSession
     t = fragments.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("body")).alias("bytes")).first()
     size = t["bytes"] or 0
-    rows, _ = write_verified(first_records(fragments), out, math.ceil(size / packing.target_bytes))
+    files = max(1, math.ceil(size / packing.target_bytes))
+    # the shuffle that removes surplus records must have at least as many parts as there are files to write
+    parts = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with settings(spark, {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(packing.target_bytes)}):
+        rows, _ = write_verified(first_records(fragments), out, files)
     return {"files_in": t["n"], "bytes_in": size, "records": rows, "files_out": _bytes_and_files(spark, out)[1] - 1}
 
 

@@ -12,7 +12,8 @@ def p1_found(spark, d):
 
 
 def p1_compact(spark, d):
-    return compaction.compaction_report(table(spark, d, "leaf_fragments"))
+    s = compaction.packing_session(spark, compaction.Packing())
+    return compaction.compaction_report(table(s, d, "leaf_fragments"))
 
 
 def p2_found(spark, d):
