@@ -189,19 +189,20 @@ def _position(v: Column, edges: int) -> Column:
     return pos
 
 
-def multi_select(df: DataFrame, group: list[str], value: str, wanted: DataFrame, cutoff: int = CUTOFF, proposals: int = PROPOSALS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def multi_select(df: DataFrame, group: list[str], value: str, wanted: DataFrame, cutoff: int = CUTOFF, proposals: int = PROPOSALS, chunk_rows: int = CHUNK_ROWS, largest: int | None = None) -> DataFrame:
     """Exact values at wanted ranks.
 
     df: group columns and one value column without NULL or NaN. wanted: the
-    group columns, `tag` and `k` (the rank, from 1). Returns group, tag, value.
+    group columns, `tag` and `k` (the rank, from 1). largest: rows of the
+    largest group, if known. Returns group, tag, value.
     """
     spark = df.sparkSession
     live, want = df.select(*group, F.col(value).alias("v")).withColumn("iv", F.lit(0).cast("long")), wanted.select(*group, "tag", "k").withColumn("iv", F.lit(0).cast("long"))
     g = [*group, "iv"]
     found: list[DataFrame] = []
     while True:
-        sizes = live.groupBy(*g).count()
-        most = sizes.agg(F.max("count")).first()[0] or 0
+        most = largest if largest is not None else live.groupBy(*g).count().agg(F.max("count")).first()[0] or 0
+        largest = None
         if most <= cutoff:
             a = live.groupBy(*g).agg(F.sort_array(F.collect_list("v")).alias("vs")).alias("a")
             last = a.join(want.alias("b"), _same("a", "b", g)).select(*[F.col(f"b.{k}").alias(k) for k in group], "tag", F.get("vs", (F.col("k") - 1).cast("int")).alias("value"))
@@ -254,24 +255,27 @@ def percentiles(df: DataFrame, levels: list[list[str]], columns: list[str], perm
     (all keys, NULL above their level; level, col, n, permille, value,
     rank_error = 0).
 
-    Group sizes come from one aggregate that combines before its shuffle.
+    Group sizes come from one aggregate by all keys that combines before its
+    shuffle; coarser levels add them up.
     Groups of at most `cutoff` rows are sorted at once; larger ones go through
     multi_select.
     """
     keys = list(dict.fromkeys(k for lev in levels for k in lev))
     own = df.select(*keys, *columns)
+    finest = written(_long(own, keys, columns).groupBy(*keys, "col").agg(F.count(F.lit(1)).alias("n")), "sizes")
     results = []
     for number, lev in enumerate(levels):
         long = _long(own, lev, columns)
         g = [*lev, "col"]
-        sizes = written(long.groupBy(*g).agg(F.count(F.lit(1)).alias("n")), "sizes")
+        sizes = finest if len(lev) == len(keys) else finest.groupBy(*g).agg(F.sum("n").alias("n"))
         ask = sizes.select(*g, "n", F.explode(F.array(*map(F.lit, permilles))).alias("tag")).withColumn("k", rank_of(F.col("tag"), F.col("n")))
         large = sizes.where(F.col("n") > cutoff)
         parts = []
-        if large.head(1):
+        most = sizes.agg(F.max("n")).first()[0] or 0
+        if most > cutoff:
             a, b = long.alias("a"), large.alias("b")
             big = a.join(b, _same("a", "b", g), "left_semi").select(*[F.col(f"a.{k}") for k in g], "value")
-            parts.append(multi_select(big, g, "value", ask.where(F.col("n") > cutoff), cutoff, proposals, chunk_rows))
+            parts.append(multi_select(big, g, "value", ask.where(F.col("n") > cutoff), cutoff, proposals, chunk_rows, most))
             rest = a.join(b, _same("a", "b", g), "left_anti")
         else:
             rest = long
