@@ -80,7 +80,8 @@ def _points(spark: SparkSession, args) -> DataFrame:
 
 
 def _leaf(spark: SparkSession, args, sensor_height: float | None) -> DataFrame:
-    s = leaf.with_steps(leaf.invalidated(leaf.distinct_shots(_pick(table(spark, args.data, "leaf_shots"), args))))
+    raw = _pick(table(spark, args.data, "leaf_shots"), args)
+    s = leaf.with_steps(leaf.invalidated(leaf.distinct_shots(raw)), raw)
     return leaf.heights(leaf.angles(s, F.col("nsteps")).withColumn("target_count", leaf.target_count()), sensor_height)
 
 
@@ -112,7 +113,7 @@ def plantprofile(spark: SparkSession, args) -> None:
     cube = profiles.Cube(args.height_resolution, args.zenith_resolution, args.azimuth_resolution, args.min_zenith, args.max_zenith, 0, args.max_height)
     if args.leaf:
         s = profiles.zenith_window(_leaf(spark, args, args.sensor_height or 0.0), args.min_zenith, args.max_zenith)
-        t = leaf.returns(s)
+        t, s = profiles.leaf_cube(s, cube, args.method)
     else:
         scans = _pick(table(spark, args.data, "scans"), args)
         p = _points(spark, args)
@@ -130,7 +131,8 @@ def plantprofile(spark: SparkSession, args) -> None:
         s = profiles.zenith_window(pulses.transformed_pulses(s, scans), args.min_zenith, args.max_zenith)
         if args.method == "ALL":
             s = pulses.pulse_target_counts(s, p)
-    cov = profiles.cover(profiles.targets(t, cube, args.method), profiles.shots(s, cube, args.method), cube)
+        t, s = profiles.targets(t, cube, args.method), profiles.shots(s, cube, args.method)
+    cov = profiles.cover(t, s, cube)
     gap = profiles.pgap(cov, cube, args.min_azimuth, args.max_azimuth, args.invert_azimuth)
     sinks.write_profiles(profiles.plant_profiles(gap, cube), args.out)
     if args.pgap_out:

@@ -37,10 +37,11 @@ def target_count(legacy: bool = False) -> Column:
     return 2 - a + b if legacy else 2 - a - b
 
 
-def with_steps(shots: DataFrame, new: float = 25600.0, old: float = 10000.0) -> DataFrame:
+def with_steps(shots: DataFrame, source: DataFrame | None = None, new: float = 25600.0, old: float = 10000.0) -> DataFrame:
     """shots plus `nsteps`, the encoder steps of a turn: scans of newer firmware
-    have a second intensity."""
-    steps = shots.groupBy("scan_id").agg(F.when(F.max(F.col("intensity2").isNotNull()), new).otherwise(old).alias("nsteps"))
+    have a second intensity. source: the raw table, to find that without
+    repeating the work done on shots."""
+    steps = (shots if source is None else source).groupBy("scan_id").agg(F.when(F.max(F.col("intensity2").isNotNull()), new).otherwise(old).alias("nsteps"))
     return shots.join(steps, "scan_id")
 
 

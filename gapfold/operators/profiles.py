@@ -65,7 +65,7 @@ def zenith_window(df: DataFrame, min_zenith: float, max_zenith: float, max_hr: f
 
 def target_weight(method: str) -> Column:
     if method == "WEIGHTED":
-        return 1 / F.col("target_count").cast("double")
+        return 1 / F.nullif(F.col("target_count").cast("double"), F.lit(0.0))
     if method == "FIRSTLAST":
         return F.lit(0.5)
     if method == "ALL":
@@ -91,6 +91,22 @@ def shots(pulses: DataFrame, cube: Cube, method: str = "WEIGHTED") -> DataFrame:
     return pulses.select(zi, ai, "target_count").where(inside).groupBy("zi", "ai").agg(n.alias("n"))
 
 
+def leaf_cube(shot_table: DataFrame, cube: Cube, method: str = "FIRSTLAST") -> tuple[DataFrame, DataFrame]:
+    """(targets, shots) of LEAF shots with heights h1 and h2, from one aggregate
+    over one scan: each shot gives itself and its valid returns. The aggregate
+    (bins of the cube) is written once for both."""
+    zi, ai = cube.angles()
+    n = F.col("target_count").cast("double") if method == "ALL" else F.lit(1.0)
+    item = lambda hi, w: F.struct(hi.alias("hi"), w.alias("w"))
+    at = [expr.bin_index(expr.clean(F.col(c)) - cube.min_h, cube.hres) for c in ("h1", "h2")]
+    h = [F.when(c >= 0, c) for c in at]  # -1 stands for the shot itself
+    w = {i: {"WEIGHTED": target_weight("WEIGHTED"), "FIRSTLAST": F.lit(0.5), "ALL": F.lit(1.0), "FIRST": F.lit(1.0 if i == 0 else None).cast("double")}[method] for i in (0, 1)}
+    rows = shot_table.select(zi, ai, F.explode(F.array(item(F.lit(-1), n), item(h[0], w[0]), item(h[1], w[1]))).alias("x")).select("zi", "ai", "x.hi", "x.w")
+    inside = F.col("zi").between(0, cube.nz - 1) & F.col("ai").between(0, cube.na - 1) & F.col("hi").between(-1, cube.nh - 1)
+    sums = written(rows.where(inside & F.col("w").isNotNull()).groupBy("zi", "ai", "hi").agg(F.sum("w").alias("w")), "cube")
+    return sums.where("hi >= 0"), sums.where("hi = -1").select("zi", "ai", F.col("w").alias("n"))
+
+
 def sum_by_index(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.sum(value).alias("value"))
 

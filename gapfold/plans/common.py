@@ -47,8 +47,8 @@ def moved(spark, d: str) -> DataFrame:
 
 def leaf_shots(spark, d: str) -> DataFrame:
     """LEAF shots, once each, invalid readings NULL, with their encoder steps."""
-    s = leaf.invalidated(leaf.distinct_shots(table(spark, d, "leaf_shots")))
-    return leaf.with_steps(s)
+    raw = table(spark, d, "leaf_shots")
+    return leaf.with_steps(leaf.invalidated(leaf.distinct_shots(raw)), raw)
 
 
 def leaf_geometry(spark, d: str, sensor_height: float = 1.5) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from gapfold.functions import expr
-from gapfold.operators import leaf, profiles, pulses
+from gapfold.operators import profiles, pulses
 from gapfold.operators.profiles import Cube
 from gapfold.plans.common import KEY, LEAF_GEO, PTS, PUL, Registry, fd, leaf_geometry, moved_sql, points, r6, r6s, shots
 from gapfold.sources.tables import table
@@ -170,14 +170,14 @@ def pgap_profiles_wide(spark, d):
 _LZ, _LH = (math.radians(v) for v in (LEAF_CUBE.min_z, LEAF_CUBE.max_z))
 
 
-@R.add("profile_leaf", f"""with {LEAF_GEO}, w as (select * from lg where zenith >= {_LZ!r}::double and zenith < {_LH!r}::double), hs as (select unnest(range({LEAF_CUBE.nh}))::int as hi),
+@R.add("profile_leaf", f"""with {LEAF_GEO}, w as (select * from lg where zenith >= {_LZ!r}::double and zenith < {_LH!r}::double and {fd('azimuth', math.radians(360))} = 0), hs as (select unnest(range({LEAF_CUBE.nh}))::int as hi),
     r as (select {fd('h', 0.5)} as hi, 0.5::double as w from (select h1 as h from w where h1 is not null union all select h2 from w where h2 is not null)),
-    t as (select hi, sum(w) as w from r where hi between 0 and {LEAF_CUBE.nh - 1} group by hi), n as (select count(*)::double as n from w where {fd('azimuth', math.radians(360))} = 0)
+    t as (select hi, sum(w) as w from r where hi between 0 and {LEAF_CUBE.nh - 1} group by hi), n as (select count(*)::double as n from w)
     select hi, {r6s('1 - sum(coalesce(w, 0)) over (order by hi rows unbounded preceding) / n', 'pgap')} from hs left join t using (hi), n where n > 0""")
 def profile_leaf(spark, d):
     s = profiles.zenith_window(leaf_geometry(spark, d), LEAF_CUBE.min_z, LEAF_CUBE.max_z)
-    t = profiles.targets(leaf.returns(s), LEAF_CUBE, "FIRSTLAST")
-    g = profiles.pgap(profiles.cover(t, profiles.shots(s, LEAF_CUBE, "FIRSTLAST"), LEAF_CUBE), LEAF_CUBE)
+    t, n = profiles.leaf_cube(s, LEAF_CUBE, "FIRSTLAST")
+    g = profiles.pgap(profiles.cover(t, n, LEAF_CUBE), LEAF_CUBE)
     return g.select("hi", r6("pgap", "pgap"))
 
 

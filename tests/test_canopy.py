@@ -170,3 +170,15 @@ def test_row_times_across_shards(spark, monkeypatch):
     want = {r.seq: r.row_time for r in leaf.row_times(d).collect()}
     monkeypatch.setattr(leaf, "SHARD_SHOTS", 7)
     assert {r.seq: r.row_time for r in leaf.row_times(d).collect()} == want
+
+
+def test_leaf_cube_is_targets_and_shots(spark):
+    rng = np.random.default_rng(9)
+    rows = [("s", float(a), float(b), int(c), float(h1) if c else None, float(h2) if c > 1 else None) for a, b, c, h1, h2 in zip(rng.uniform(0, 1.4, 300), rng.uniform(0, 6.28, 300), rng.integers(0, 3, 300), rng.uniform(-1, 6, 300), rng.uniform(-1, 6, 300))]
+    s = spark.createDataFrame(rows, "scan_id string, zenith double, azimuth double, target_count int, h1 double, h2 double")
+    cube = Cube(hres=1, zres=10, ares=90, min_z=0, max_z=70, min_h=0, max_h=5)
+    for method in profiles.METHODS:
+        t, n = profiles.leaf_cube(s, cube, method)
+        key = lambda d: sorted((*r[:-1], round(r[-1], 9)) for r in d.collect())
+        assert key(t.select("zi", "ai", "hi", "w")) == key(profiles.targets(leaf.returns(s), cube, method))
+        assert key(n) == key(profiles.shots(s, cube, method))
