@@ -194,12 +194,14 @@ def _sound(fields: Column, count_at: Column, time_at: Column) -> Column:
     return F.coalesce((missing(count_at) | good_count) & (missing(time_at) | good_time), F.lit(False))
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
     """Each body line with its parse:
     file_id, line_no, names, fields, values (one text per column), reason
-    (NULL for a good row), quote_edits, delimiter_edits, edits."""
+    (NULL for a good row), quote_edits, delimiter_edits, edits.
+
+    layouts: the result of file_layouts on the same lines, if at hand."""
     own = lines.select("file_id", "line_no", "line_text")
-    layouts = file_layouts(own).select(
+    layouts = (file_layouts(own) if layouts is None else layouts).select(
         "file_id", "names", "fields", F.size("names").alias("n"),
         (F.array_position("fields", "sample_count") - 1).cast("int").alias("count_at"),
         (F.array_position("fields", "sample_time") - 1).cast("int").alias("time_at"))

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from gapfold.operators.badrows import parse_lines
 from gapfold.operators.leaf_layout import COLUMNS_NEW, file_layouts
 from gapfold.operators.sharded import with_previous
+from gapfold.session import written
 
 #: The lattice, lowest first.
 LATTICE = ["integer", "decimal", "text"]
@@ -41,11 +42,14 @@ def level(value: Column) -> Column:
 
 
 def file_schemas(lines: DataFrame, fields: list[str]) -> DataFrame:
-    """file_id, and for each field a struct (name as written, level)."""
+    """file_id, and for each field a struct (name as written, level).
+
+    The layouts (one row per file) serve twice, so they are written once."""
     own = lines.select("file_id", "line_no", "line_text")
-    levels = parse_lines(own).where("reason is null").groupBy("file_id").agg(*[F.max(level(_value(f))).alias(f"level_{f}") for f in fields])
+    layouts = written(file_layouts(own), "layouts")
+    levels = parse_lines(own, layouts).where("reason is null").groupBy("file_id").agg(*[F.max(level(_value(f))).alias(f"level_{f}") for f in fields])
     at = lambda f: F.get("names", (F.nullif(F.array_position("fields", f), F.lit(0)) - 1).cast("int"))
-    a, b = file_layouts(own).alias("a"), levels.alias("b")
+    a, b = layouts.alias("a"), levels.alias("b")
     return a.join(b, F.col("a.file_id").eqNullSafe(F.col("b.file_id")), "left").select(
         "a.file_id", *[F.struct(at(f).alias("name"), F.coalesce(f"level_{f}", F.lit(0)).alias("level")).alias(f) for f in fields])
 
