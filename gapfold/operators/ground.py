@@ -75,11 +75,12 @@ def plane_fit(x, y, z, w=None, tuning: float = 1.345, rounds: int = 50, tol: flo
 
 
 def ground_plane(points: DataFrame, extent: float = 60, res: float = 10, origin: tuple[float, float] = (0.0, 0.0)) -> Plane:
-    """Plane through the lowest returns, weighted by 1/range. The cells come to
-    the driver; their number is (extent // res + 1) squared, checked first."""
-    if (extent // res + 1) ** 2 > MAX_CELLS:
-        raise ValueError(f"more than {MAX_CELLS} cells")
-    rows = min_z_grid(points, extent, res, origin).where("r > 0").orderBy("y", "x").collect()
+    """Plane through the lowest returns, weighted by 1/range. One row per
+    occupied cell comes to the driver; more than MAX_CELLS are refused."""
+    rows = min_z_grid(points, extent, res, origin).where("r > 0").limit(MAX_CELLS + 1).collect()
+    if len(rows) > MAX_CELLS:
+        raise ValueError(f"more than {MAX_CELLS} occupied cells")
+    rows.sort(key=lambda r: (r.y, r.x))
     return plane_fit([r.px for r in rows], [r.py for r in rows], [r.pz for r in rows], [1 / r.r for r in rows])
 
 

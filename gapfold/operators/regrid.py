@@ -27,33 +27,39 @@ def usable(range1: Column, intensity1: Column, at: Column, max_range: float = 12
     return at.isNotNull() & range1.isNotNull() & ~F.isnan(range1) & (range1 != -1.0) & (range1 <= max_range) & (intensity1 > 0)
 
 
+def _step(a: dict, b: dict) -> Column:
+    """Seconds from knot a to b. A knot's time is its slot and an offset in it,
+    so the difference keeps its digits."""
+    return b["slot"] - a["slot"] + (b["t"] - a["t"])
+
+
 def _secant(a: dict, b: dict) -> Column:
-    return (b["v"] - a["v"]) / (b["t"] - a["t"])
+    return (b["v"] - a["v"]) / _step(a, b)
 
 
 def _inner_slope(p: dict, a: dict, b: dict) -> Column:
     """Weighted harmonic mean of the neighbouring secants, 0 at a turn."""
-    h0, h1, d0, d1 = a["t"] - p["t"], b["t"] - a["t"], _secant(p, a), _secant(a, b)
+    h0, h1, d0, d1 = _step(p, a), _step(a, b), _secant(p, a), _secant(a, b)
     w0, w1 = 2 * h1 + h0, h1 + 2 * h0
     return F.when(d0 * d1 <= 0, F.lit(0.0)).otherwise((w0 + w1) / (w0 / F.nullif(d0, F.lit(0.0)) + w1 / F.nullif(d1, F.lit(0.0))))
 
 
 def _end_slope(a: dict, b: dict, c: dict) -> Column:
     """One-sided three-point slope at a, kept monotone."""
-    h0, h1, d0, d1 = F.abs(b["t"] - a["t"]), F.abs(c["t"] - b["t"]), _secant(a, b), _secant(b, c)
+    h0, h1, d0, d1 = F.abs(_step(a, b)), F.abs(_step(b, c)), _secant(a, b), _secant(b, c)
     d = ((2 * h0 + h1) * d0 - h0 * d1) / (h0 + h1)
     return F.when(d * d0 <= 0, F.lit(0.0)).when((d0 * d1 <= 0) & (F.abs(d) > 3 * F.abs(d0)), 3 * d0).otherwise(d)
 
 
 def _cubic(x: Column, p: dict, a: dict, b: dict, c: dict, far: int) -> Column:
-    """Value at time x between knots a and b; p and c may be absent or lie
+    """Value x seconds after knot a, between a and b; p and c may be absent or lie
     beyond a long gap, then a or b is an end of the segment."""
     has_p = p["slot"].isNotNull() & (a["slot"] - p["slot"] <= far)
     has_c = c["slot"].isNotNull() & (c["slot"] - b["slot"] <= far)
     da = F.when(has_p, _inner_slope(p, a, b)).when(has_c, _end_slope(a, b, c)).otherwise(_secant(a, b))
     db = F.when(has_c, _inner_slope(a, b, c)).when(has_p, _end_slope(b, a, p)).otherwise(_secant(a, b))
-    h = b["t"] - a["t"]
-    u = (x - a["t"]) / h
+    h = _step(a, b)
+    u = x / h
     return (a["v"] * (2 * u * u * u - 3 * u * u + 1) + h * da * (u * u * u - 2 * u * u + u)
             + b["v"] * (3 * u * u - 2 * u * u * u) + h * db * (u * u * u - u * u))
 
@@ -66,7 +72,7 @@ def regular_grid(readings: DataFrame, source: str, at: Column, value: Column, st
     at whole multiples of `step`; a filled slot has the cubic at its middle.
     """
     slot = (F.floor(at / step) * step).cast("long")
-    knots = readings.select(F.col(source), slot.alias("slot"), at.alias("t"), value.alias("v")).where(
+    knots = readings.select(F.col(source), slot.alias("slot"), (at - slot).alias("t"), value.alias("v")).where(
         F.col(source).isNotNull() & F.col("slot").isNotNull()
     ).groupBy(source, "slot").agg(F.count(F.lit(1)).alias("n"), F.avg("t").alias("t"), F.avg("v").alias("v"))
     knots = knots.withColumn("shard", F.floor(F.col("slot") / SHARD_SECONDS)).withColumn("k", F.struct("slot", "t", "v", "n"))
@@ -94,7 +100,7 @@ def regular_grid(readings: DataFrame, source: str, at: Column, value: Column, st
     observed = F.col("slot_epoch") == F.col("a_slot")
     near = F.col("b_slot") - F.col("a_slot") <= max_gap
     knot = lambda k: {x: F.col(f"{k}_{x}") for x in ("slot", "t", "v")}
-    cubic = _cubic(F.col("slot_epoch") + step / 2, knot("p"), knot("a"), knot("b"), knot("c"), max_gap)
+    cubic = _cubic(F.col("slot_epoch") - F.col("a_slot") + (step / 2 - F.col("a_t")), knot("p"), knot("a"), knot("b"), knot("c"), max_gap)
     return rows.select(
         source, "slot_epoch", F.when(observed, F.col("a_n")).otherwise(F.lit(0)).alias("n_readings"),
         F.when(observed, F.col("a_v")).when(near, cubic).alias("value"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from gapfold.operators import badrows, compaction, drift, percentiles, regrid
 from gapfold.sources.tables import table
 
@@ -38,7 +40,8 @@ def p4_found(spark, d):
 
 
 def p4_grid(spark, d):
-    return regrid.leaf_grid(table(spark, d, "leaf_shots"))
+    g = regrid.leaf_grid(table(spark, d, "leaf_shots"))
+    return g.withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 def p5_found(spark, d):
@@ -89,6 +92,44 @@ seq as (select x.serial_number as serial_number, x.scan_count as scan_count, fie
 changes as (select serial_number, scan_count, field_name, unnest([case when pn is null and nm is not null then 'added' when pn is not null and nm is null then 'removed' when pn <> nm then 'renamed' end,
     case when pn is not null and nm is not null and pt <> ty then 'retyped' end]) as change_kind from seq where here)"""
 
+def _secant(a: str, b: str) -> str:
+    return f"(({b}v - {a}v) / {_step(a, b)})"
+
+
+def _step(a: str, b: str) -> str:
+    return f"({b}s - {a}s + ({b}o - {a}o))"
+
+
+def _inner(p: str, a: str, b: str) -> str:
+    h0, h1, d0, d1 = _step(p, a), _step(a, b), _secant(p, a), _secant(a, b)
+    return f"case when {d0} * {d1} <= 0 then 0 else ((2 * {h1} + {h0}) + ({h1} + 2 * {h0})) / ((2 * {h1} + {h0}) / nullif({d0}, 0) + ({h1} + 2 * {h0}) / nullif({d1}, 0)) end"
+
+
+def _end(a: str, b: str, c: str) -> str:
+    h0, h1, d0, d1 = f"abs({_step(a, b)})", f"abs({_step(b, c)})", _secant(a, b), _secant(b, c)
+    d = f"(((2 * {h0} + {h1}) * {d0} - {h0} * {d1}) / ({h0} + {h1}))"
+    return f"case when {d} * {d0} <= 0 then 0 when {d0} * {d1} <= 0 and abs({d}) > 3 * abs({d0}) then 3 * {d0} else {d} end"
+
+
+_GRID = f"""with k as (select scan_id, s, count(*) as n, avg(sec - s) as o, avg(range1) as v from (select scan_id, range1, epoch_us(datetime) / 1e6::double as sec, (floor(epoch_us(datetime) / 1e6::double / 10) * 10)::bigint as s
+        from leaf_shots where datetime is not null and range1 is not null and not isnan(range1) and range1 <> -1 and range1 <= 120 and intensity1 > 0) group by all),
+    w as (select scan_id, n, s as a_s, o as a_o, v as a_v, {", ".join(f"{f}({x}{i}) over (partition by scan_id order by s) as {k}_{x}" for k, f, i in (("p", "lag", ""), ("b", "lead", ""), ("c", "lead", ", 2")) for x in "sov")} from k),
+    m as (select *, p_s is not null and a_s - p_s <= 60 as has_p, c_s is not null and c_s - b_s <= 60 as has_c from w),
+    d as (select *, case when has_p then {_inner("p_", "a_", "b_")} when has_c then {_end("a_", "b_", "c_")} else {_secant("a_", "b_")} end as da,
+        case when has_c then {_inner("a_", "b_", "c_")} when has_p then {_end("b_", "a_", "p_")} else {_secant("a_", "b_")} end as db, {_step("a_", "b_")} as h from m),
+    g as (select *, unnest(generate_series(a_s, coalesce(b_s - 10, a_s), 10)) as slot_epoch from d),
+    e as (select *, (slot_epoch - a_s + (5.0::double - a_o)) / h as u from g)
+    select scan_id, slot_epoch, case when slot_epoch = a_s then n else 0 end as n_readings,
+        round(case when slot_epoch = a_s then a_v when b_s - a_s <= 60 then a_v * (2 * u * u * u - 3 * u * u + 1) + h * da * (u * u * u - 2 * u * u + u) + b_v * (3 * u * u - 2 * u * u * u) + h * db * (u * u * u - u * u) end, 6) + 0.0 as value,
+        case when slot_epoch = a_s then 'observed' when b_s - a_s <= 60 then 'filled' else 'gap' end as status from e"""
+
+_ROWS = r"""pl as (select file_id, names, list_filter(range(1, len(names) + 1), lambda i: regexp_matches(lower(names[i]), 'enc') and not regexp_matches(lower(names[i]), 'rotary'))[1] as e,
+        list_filter(range(1, len(names) + 1), lambda i: regexp_matches(lower(names[i]), 'int|amp') and regexp_matches(lower(names[i]), '2|second'))[1] as i from layout),
+    x as (select j.*, pl.e, pl.i from judged j join pl using (file_id) where reason is null)
+    select file_id, line_no, f[list_position(names, 'sample_count')]::int as sample_count, nullif(try_cast(f[e] as double), -1) as scan_encoder, nullif(try_cast(f[list_position(names, 'rotary_encoder')] as double), -1) as rotary_encoder,
+        nullif(try_cast(f[list_position(names, 'range1')] as double), -1) as range1, trunc(nullif(try_cast(f[list_position(names, 'intensity1')] as double), -1))::int as intensity1,
+        nullif(try_cast(f[list_position(names, 'range2')] as double), -1) as range2, trunc(nullif(try_cast(f[i] as double), -1))::int as intensity2, f[list_position(names, 'sample_time')]::double as sample_time from x"""
+
 SQL = {
     "p1_found": f"with {_RECORDS} select fragment_id, line_no from ranked where rn > 1",
     "p1_compact": f"with {_RECORDS} select (select count(*) from leaf_fragments) as files_in, (select sum(strlen(body)) from leaf_fragments)::bigint as bytes_in, count(*) as records, 1::bigint as files_out from ranked where rn = 1",
@@ -98,5 +139,7 @@ SQL = {
         select scan_id, day, level, col, n, permille, v + 0.0 as value, 0.0::double as rank_error from o, (select unnest([10, 50, 250, 500, 750, 950, 990]) as permille) where rn = greatest(1, (permille * n + 999) // 1000)""",
     "p4_found": """with u as (select distinct scan_id, (floor(epoch(datetime) / 10) * 10)::bigint as s from leaf_shots where datetime is not null and range1 is not null and not isnan(range1) and range1 <> -1 and range1 <= 120 and intensity1 > 0),
         a as (select scan_id, unnest(generate_series(min(s), max(s), 10)) as s from u group by scan_id) select scan_id, s as slot_epoch from (select * from a except select * from u)""",
+    "p4_grid": _GRID,
+    "p5_rows": f"with {_LAYOUT}, {_ROWS}",
     "p5_found": f"with {_LAYOUT} select file_id, line_no, reason from judged where reason is not null",
 }

@@ -76,11 +76,9 @@ def leaf_heights(spark, d):
 
 
 @R.add("leaf_datetime", f"""with {LEAF}, t as (select scan_id, seq, epoch_us(try_strptime(regexp_extract(scan_id, '_(\\d{{8}}-\\d{{6}})Z_', 1), '%Y%m%d-%H%M%S')) + round(sum(coalesce(sample_time, 0)) over (partition by scan_id order by seq rows unbounded preceding) * 1000)::bigint as us from ls)
-    select scan_id, seq, us // 1000 as ms from t where abs(us % 1000 - 500) < 499""")
+    select scan_id, seq, us from t""")
 def leaf_datetime(spark, d):
-    t = leaf.row_times(leaf_shots(spark, d))
-    us = F.unix_micros("row_time")
-    return t.where(F.abs(us % 1000 - 500) < 499).select("scan_id", "seq", F.expr("unix_micros(row_time) div 1000").alias("ms"))
+    return leaf.row_times(leaf_shots(spark, d)).select("scan_id", "seq", F.unix_micros("row_time").alias("us"))
 
 
 @R.add("leaf_returns", f"""with {LEAF_GEO} select scan_id, target_index, {r6s('height', 'height')} from (select scan_id, 1 as target_index, h1 as height from lg union all select scan_id, 2, h2 from lg) where height is not null and not isnan(height)""")
@@ -224,7 +222,7 @@ def rsmooth(spark, d):
 @R.add("quality_flag")
 def quality_flag(spark, d):
     s = series.day_spine(_daily_events(spark, d), "user_id", "day", "value")
-    return series.smooth_series(s, "user_id", "day", "value", segments=[10, 20]).select("user_id", "day", "value", "smooth", "good")
+    return series.smooth_series(s, "user_id", "day", "value", p=[1.0, None, 1.0], segments=[10, 20]).select("user_id", "day", "value", "smooth", "good")
 
 
 @R.add("phenology_fit")

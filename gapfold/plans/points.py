@@ -11,7 +11,6 @@ from gapfold.sources.tables import table
 
 R = Registry()
 _MATRIX = ["r00", "r01", "r02", "r10", "r11", "r12", "r20", "r21", "r22", "tx", "ty", "tz"]
-_GAP = 3 * expr.math.pi / 180
 
 
 @R.add("scan_pulses", "select scan_id, pulse_id, scanline, scanline_idx, target_count from pulses")
@@ -24,9 +23,9 @@ def scan_points(spark, d):
     return points(spark, d).select("scan_id", "scanline", "scanline_idx", "target_index", "riegl_id", "x", "y", "z")
 
 
-@R.add("scan_points_rdb", "select scan_id, riegl_id, range, reflectance, classification from points_rdb where scan_id = 'sp000001'")
+@R.add("scan_points_rdb", "select scan_id, riegl_id, range, reflectance, classification from points_rdb")
 def scan_points_rdb(spark, d):
-    return table(spark, d, "points_rdb").where("scan_id = 'sp000001'").select("scan_id", "riegl_id", "range", "reflectance", "classification")
+    return table(spark, d, "points_rdb").select("scan_id", "riegl_id", "range", "reflectance", "classification")
 
 
 @R.add("derive_range", f"with {PTS} select scan_id, riegl_id, {r6s('sqrt(x * x + y * y + z * z)', 'range')} from pts")

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import functions as F
-
 from gapfold.functions import expr
 from gapfold.operators import profiles, pulses
 from gapfold.operators.profiles import Cube
@@ -182,4 +180,3 @@ def profile_leaf(spark, d):
 
 
 QUERIES, SQL = R.queries, R.sql
-assert F

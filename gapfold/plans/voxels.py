@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gapfold.functions import expr
 from gapfold.operators import pulses, voxels
 from gapfold.operators.voxels import Box
-from gapfold.plans.common import MOVED, PTS, PUL, Registry, fd, moved, moved_sql, points, r6, r6s, shots
+from gapfold.plans.common import MOVED, PUL, Registry, fd, moved, r6, r6s, shots
 from gapfold.sources.tables import table
 
 R = Registry()
@@ -56,9 +56,9 @@ _STACK = f"""{MOVED}, sb as (select scan_id, {fd('x - (-40)', 4.0)} as x, {fd('y
         case when hits + miss + occl > 0 then zeni / (hits + miss + occl) end as zeni from st)"""
 
 
-@R.add("voxel_stack", f"with {_STACK} select scan_id, x, y, z, hits, miss, occl from st where z = 3")
+@R.add("voxel_stack", f"with {_STACK} select scan_id, x, y, z, hits, miss, occl from st")
 def voxel_stack(spark, d):
-    return stack(spark, d).where("z = 3").select("scan_id", "x", "y", "z", "hits", "miss", "occl")
+    return stack(spark, d).select("scan_id", "x", "y", "z", "hits", "miss", "occl")
 
 
 @R.add("voxel_ratios", f"with {_STACK} select scan_id, x, y, z, {r6s('vwts', 'vwts')}, {r6s('pgap', 'pgap')}, {r6s('zeni', 'zeni')} from sr")
@@ -180,4 +180,3 @@ def voxelize_scan(spark, d):
 
 
 QUERIES, SQL = R.queries, R.sql
-assert PTS and points and moved_sql
