@@ -1,8 +1,9 @@
 """Queries of the voxel model.
 
 The traversal itself has no SQL; it is tested against a step-by-step walk. The
-model's steps over voxel tables are checked in SQL on a voxel table binned from
-the returns (`stack`).
+model's steps over voxel tables are checked in SQL on a stand-in, a voxel table
+binned from the returns alone (`stack`). The same steps over the traversal of
+all pulses are the queries ending in `_rays`.
 """
 
 from __future__ import annotations
@@ -179,4 +180,48 @@ def voxelize_scan(spark, d):
     return voxels.voxelize(u, p, BOX, g)
 
 
+def ray_stack(spark, d):
+    """A voxel table per scan from the traversal of all pulses, with and without
+    returns."""
+    u, p, _ = _voxels(spark, d, COARSE)
+    return voxels.voxelize(u, p, COARSE)
+
+
+@R.add("voxel_stack_rays")
+def voxel_stack_rays(spark, d):
+    return ray_stack(spark, d).select("scan_id", "x", "y", "z", *[r6(c, c) for c in ("hits", "miss", "occl")])
+
+
+@R.add("voxel_ratios_rays")
+def voxel_ratios_rays(spark, d):
+    return ray_stack(spark, d).select("scan_id", "x", "y", "z", r6("vwts", "vwts"), r6("pgap", "pgap"), r6("zeni", "zeni"))
+
+
+@R.add("voxel_class_rays")
+def voxel_class_rays(spark, d):
+    return ray_stack(spark, d).select("scan_id", "x", "y", "z", "vcls")
+
+
+@R.add("voxel_linear_rays")
+def voxel_linear_rays(spark, d):
+    m = voxels.linear_model(ray_stack(spark, d))
+    return m.select("x", "y", "z", r6("paiv", "paiv"), r6("paih", "paih"), "nscans")
+
+
+@R.add("cover_profile_rays")
+def cover_profile_rays(spark, d):
+    m = voxels.linear_model(ray_stack(spark, d))
+    return voxels.cover_profile(m, COARSE.n[2]).select("x", "y", "z", r6("cover", "cover"))
+
+
+@R.add("voxel_occlusion_rays")
+def voxel_occlusion_rays(spark, d):
+    return voxels.occlusion(ray_stack(spark, d)).select("x", "y", "z", r6("poccl", "poccl"), r6("nbeam", "nbeam"))
+
+
+@R.add("voxel_nscans_rays")
+def voxel_nscans_rays(spark, d):
+    return voxels.scan_counts(ray_stack(spark, d))
+
+
 QUERIES, SQL = R.queries, R.sql
