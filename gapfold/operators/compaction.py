@@ -5,8 +5,9 @@ Nothing is shuffled to join small files. The engine's own split packing does it:
 `spark.sql.files.openCostInBytes` what opening a file is charged, so one task
 reads many tiny files as one combined split; `coalesce` (a narrow dependency)
 brings the splits to the wanted number of output files. Output is written to a
-staging folder, verified against the input (record count and an order-free
-checksum), and only then moved to its final name.
+staging folder, verified (record count and an order-free checksum), and only
+then moved to its final name. Records of a table of tiny files are verified
+against the bodies too, read apart from the frame that is written.
 
 The split settings live in a child session of their own, so the caller's
 session is left as it was.
@@ -15,6 +16,7 @@ session is left as it was.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -81,11 +83,12 @@ def checksum(df: DataFrame) -> tuple[int, int]:
     return r["n"], int(r["h"] or 0)
 
 
-def write_verified(df: DataFrame, out: str, files: int, fmt: str = "parquet", options: dict | None = None) -> tuple[int, int]:
+def write_verified(df: DataFrame, out: str, files: int, fmt: str = "parquet", options: dict | None = None, against: tuple[Callable, tuple[int, int]] | None = None) -> tuple[int, int]:
     """Write df as at most `files` files under `out`, staged and verified.
 
     Raises, and leaves no output, if the staged files don't hold exactly df's
-    rows. `out` must not exist.
+    rows, or if `against`, a function of the staged frame and what it must give,
+    doesn't hold. `out` must not exist.
     """
     spark = df.sparkSession
     stage = out.rstrip("/") + ".staged"
@@ -95,10 +98,11 @@ def write_verified(df: DataFrame, out: str, files: int, fmt: str = "parquet", op
         raise FileExistsError(out)
     want = checksum(df)
     df.coalesce(max(1, files)).write.mode("overwrite").format(fmt).options(**(options or {})).save(stage)
-    got = checksum(spark.read.schema(df.schema).format(fmt).options(**(options or {})).load(stage))
-    if got != want:
-        fs.delete(s, True)
-        raise RuntimeError(f"staged output holds {got[0]} rows with sum {got[1]}, the input {want[0]} with {want[1]}")
+    staged = spark.read.schema(df.schema).format(fmt).options(**(options or {})).load(stage)
+    for of, must in ((checksum, want), *([against] if against else [])):
+        if (got := of(staged)) != must:
+            fs.delete(s, True)
+            raise RuntimeError(f"staged output holds {got[0]} rows with sum {got[1]}, the input {must[0]} with {must[1]}")
     fs.rename(s, d)
     return want
 
@@ -174,9 +178,30 @@ def first_records(fragments: DataFrame) -> DataFrame:
     return first.select("serial_number", "scan_count", "f.*")
 
 
+def body_records(fragments: DataFrame) -> tuple[int, int]:
+    """Records of the bodies without the surplus ones, and the sum of their key
+    hashes: what a compaction must hold. The lines are read apart from
+    `fragment_records`, so that a record lost there shows here."""
+    lines = fragments.select("serial_number", "scan_count", F.explode(F.filter(F.split("body", "\n", -1), lambda x: x.rlike("^[^#]") & x.rlike(r"[^ \t\r\x0B\f]"))).alias("record"))
+    keys = lines.groupBy("serial_number", "scan_count", record_key(F.col("record")).alias("key")).agg(F.count(F.lit(1)).alias("times"))
+    r = keys.agg(F.sum("times").alias("n"), F.sum(F.col("times") - 1).alias("surplus"), F.sum(_key_hash(F.col("key"))).alias("h")).first()
+    return (r["n"] or 0) - (r["surplus"] or 0), int(r["h"] or 0)
+
+
+def _key_hash(key: Column) -> Column:
+    return F.xxhash64("serial_number", "scan_count", key).cast("decimal(38,0)")
+
+
+def held_records(kept: DataFrame) -> tuple[int, int]:
+    """The same of a compaction's rows."""
+    r = kept.agg(F.count(F.lit(1)).alias("n"), F.sum(_key_hash(record_key(F.col("record")))).alias("h")).first()
+    return r["n"], int(r["h"] or 0)
+
+
 def compact_fragments(fragments: DataFrame, out: str, packing: Packing = Packing()) -> dict:
     """Consolidate the records of a table of tiny files into well-sized Parquet
-    files under `out`, each record once; returns a report.
+    files under `out`, each record once; returns a report. Raises, and leaves no
+    output, if a record of the bodies is not in it or is in it twice.
 
     The number of output files follows from the bytes of the bodies.
     """
@@ -187,7 +212,7 @@ def compact_fragments(fragments: DataFrame, out: str, packing: Packing = Packing
     # the shuffle that removes surplus records must have at least as many parts as there are files to write
     parts = max(files, int(spark.conf.get("spark.sql.shuffle.partitions")))
     with settings(spark, {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(packing.target_bytes)}):
-        rows, _ = write_verified(first_records(fragments), out, files)
+        rows, _ = write_verified(first_records(fragments), out, files, against=(held_records, body_records(fragments)))
     return {"files_in": t["n"], "bytes_in": size, "records": rows, "files_out": _bytes_and_files(spark, out)[1] - 1}
 
 

@@ -67,3 +67,14 @@ def test_bad_output_is_refused(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError):
         c.write_verified(df, f"file://{tmp_path}/out", 1)
     assert not os.path.exists(f"{tmp_path}/out") and not os.path.exists(f"{tmp_path}/out.staged")
+
+
+@pytest.mark.parametrize("lossy", ["fragment_records", "first_records"])
+def test_lost_record_is_refused(spark, tmp_path, monkeypatch, lossy):
+    df = spark.createDataFrame([(1, "A", 1, "1,1\r\n2,1\n"), (2, "A", 1, "#x\n \t\n2.0,1\n3,1"), (3, None, None, "3,1")], SCHEMA)
+    assert c.compact_fragments(df, f"file://{tmp_path}/all")["records"] == 4
+    whole = getattr(c, lossy)
+    monkeypatch.setattr(c, lossy, lambda f: whole(f).where("record <> '1,1'"))
+    with pytest.raises(RuntimeError):
+        c.compact_fragments(df, f"file://{tmp_path}/out")
+    assert not os.path.exists(f"{tmp_path}/out") and not os.path.exists(f"{tmp_path}/out.staged")
