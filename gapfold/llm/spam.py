@@ -43,6 +43,8 @@ PRIOR_WEIGHT = 0.5
 ROUNDS = 2
 #: Words of a line that make one step of the model.
 PART_WORDS = 16
+#: Words on short lines of a text from which their repetition counts.
+REPEAT_WORDS = 20
 #: A symbol that says nothing about the state: its share is one for all states.
 TIED = SYMBOLS.index("S")
 
@@ -78,6 +80,7 @@ _ATTRIBUTE = re.compile(r"\b(?:content|alt|title|value)\s*=\s*(?:\"([^\"]*)\"|'(
 _MARK = re.compile(r"(?:[#@]|\w+:)(?=[^\W_])")
 _HUMP = re.compile(r"[a-zß-ÿа-яё0-9][A-ZÀ-ÞА-ЯЁ]|[a-zß-ÿа-яё]\d+$")
 _SPLIT = re.compile(r"[,;|•★✅·►→»/]|\s[-–—]\s")
+_FIELD = re.compile(r"[:=_/(\\]")
 _SENTENCE = re.compile(r"[.!?…:](?:\s|$)|;\s|,\s")
 
 
@@ -162,14 +165,39 @@ def symbol(line: str) -> tuple[str, int]:
     return ("S" if m <= 4 else "P"), n
 
 
+def _repeats(lines: list[str]) -> set[str]:
+    """Of the short lines of a text, which say nothing one by one, those that
+    repeat a phrase or a word: a phrase three times or more where such phrases
+    are half of the words, or a word as often as in one line of keywords."""
+    said = {x: [w.lower() for w in _WORD.findall(x)] for x in set(lines)}
+    total = sum(len(said[x]) for x in lines)
+    if total < REPEAT_WORDS:
+        return set()
+    phrases = Counter(tuple(said[x]) for x in lines)
+    again = {p for p, c in phrases.items() if c >= 3}
+    out = set()
+    if sum(len(p) * phrases[p] for p in again) * 2 >= total:
+        out = {x for x, p in said.items() if tuple(p) in again}
+    top = Counter(w for x in lines for w in said[x] if len(w) > 3).most_common(2)
+    often = {w for w, c in top if c >= 3}
+    if top and top[0][1] * 5 >= total or len(often) == 2 and sum(c for _, c in top) * 4 >= total:
+        out |= {x for x, p in said.items() if often & set(p)}
+    return out
+
+
 def describe(text: str | None) -> tuple[str, list[int]]:
     """Symbols and word counts of the lines of a commit that have words; a line
     of many words counts as several."""
     if not text:
         return "", []
     symbols, words = [], []
-    for s, n in map(symbol, changed_lines(text)):
+    lines = changed_lines(text)
+    marks = [symbol(x) for x in lines]
+    stuffed = _repeats([x for x, (s, n) in zip(lines, marks) if s == "S" and n > 1 and not _FIELD.search(x)])
+    for x, (s, n) in zip(lines, marks):
         if s:
+            if s == "S" and x in stuffed:
+                s = "K"
             parts = -(-n // PART_WORDS)
             symbols.append(s * parts)
             words += [n * (k + 1) // parts - n * k // parts for k in range(parts)]

@@ -112,3 +112,10 @@ def test_training_is_scale_free(spark):
     ("[a1]: https://docs.example/x", "R"), ("#BestShoesSale #CheapShoes", "T"), ("buy shoes buy shoes buy shoes", "K"), ("src/a/b_c.py", "C"), ("alignBeam", "C"), ('"a": "buy cheap deals",', "C")])
 def test_symbols(line, want):
     assert spam.symbol(line)[0] == want
+
+
+def test_short_lines_that_repeat(spark):
+    pages = [["sofa covers", "garden lamps cheap"] * 12, ["sofa covers", "sofa covers grey", "large sofa covers", "corner sofa"] * 4]
+    honest = [["Red panel", "Oak floor", "Two large rooms", "Open kitchen", "Quiet street", "North window", "New roof", "Small yard", "Old barn", "Stone path", "Low fence"], ["fix typo", "fix typo", "fix typo"], [f"- name: {w}" for w in ("packWindow", "sort_probe", "map_cell", "trim_meter") * 4]]
+    rows = [(i, commit("first page", p)) for i, p in enumerate(pages)] + [(10 + i, commit("first page", p)) for i, p in enumerate(honest)]
+    assert sorted(r.doc_id for r in spam.spam_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 1]
