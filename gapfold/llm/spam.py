@@ -80,6 +80,8 @@ _ATTRIBUTE = re.compile(r"\b(?:content|alt|title|value)\s*=\s*(?:\"([^\"]*)\"|'(
 _MARK = re.compile(r"(?:[#@]|\w+:)(?=[^\W_])")
 _HUMP = re.compile(r"[a-zß-ÿа-яё0-9][A-ZÀ-ÞА-ЯЁ]|[a-zß-ÿа-яё]\d+$")
 _SPLIT = re.compile(r"[,;|•★✅·►→»/]|\s[-–—]\s")
+_REMOTE = re.compile(r"\b\w+://\S+")
+_EMPTY = re.compile(r"\(\s*\)|\[\s*\]|<\s*>")
 _FIELD = re.compile(r"[:=_/(\\]")
 _SENTENCE = re.compile(r"[.!?…:](?:\s|$)|;\s|,\s")
 
@@ -114,6 +116,28 @@ def _tags(bare: str, pieces: list[str]) -> bool:
     return sum(bool(_HUMP.search(t.strip(",;|"))) for t in tokens) * 3 >= len(tokens) and tokens[0][:1] == tokens[0][:1].upper()
 
 
+def _keywords(line: str, low: list[str], promo: int) -> bool:
+    """A line of five words or more that repeats words or advertises."""
+    m, count = len(low), Counter(w for w in low if len(w) > 3)
+    often = [c for _, c in count.most_common(2) if c >= 3]
+    if "\"" in line or "'" in line and "(" in line:
+        often = []  # a repeated word inside a literal
+    return bool(often) and often[0] * 5 >= m or len(often) == 2 and sum(often) * 4 >= m or promo * 5 >= m and promo >= 2
+
+
+def _beside_links(left: str) -> str:
+    """What the words of a line are without its URLs and markup."""
+    low = [w.lower() for w in _WORD.findall(left)]
+    if len(low) <= 8:
+        return "P"
+    if _tags(left, [p for p in _SPLIT.split(left) if p.strip()]):
+        return "T"
+    promo = sum(w in PROMOTION for w in low)
+    if _CODE.search(left) and promo * 5 < len(low):
+        return "P"
+    return "K" if _keywords(left, low, promo) else "P"
+
+
 def symbol(line: str) -> tuple[str, int]:
     """What a line looks like, and its number of words; no symbol without words."""
     line = line.strip()
@@ -128,9 +152,10 @@ def symbol(line: str) -> tuple[str, int]:
             return "R", n
         if line[0] in "\"'{" or re.match(r"[\w\"'.-]+\s*[:=]\s*[\"']", line):
             return "C", n
-        rest = _WORD.findall(_TAG.sub(" ", _URL.sub(" ", bare)))
+        left = _TAG.sub(" ", _URL.sub(" ", bare))
+        rest = _WORD.findall(left)
         if len(rest) > 8:
-            return "P", n
+            return _beside_links(_EMPTY.sub(" ", _REMOTE.sub(" ", left)).strip()), n
         low = [w.lower() for w in words]
         return ("L" if any(w in PROMOTION for w in low) else "N"), n
     if "<" in bare:
@@ -150,11 +175,7 @@ def symbol(line: str) -> tuple[str, int]:
     if _DATA.match(line) or bare == line and _CODE.search(line) and promo * 5 < m:
         return "C", n
     if m >= 5:
-        count = Counter(w for w in low if len(w) > 3)
-        often = [c for _, c in count.most_common(2) if c >= 3]
-        if "\"" in line or "'" in line and "(" in line:
-            often = []  # a repeated word inside a literal
-        if often and often[0] * 5 >= m or len(often) == 2 and sum(often) * 4 >= m or promo * 5 >= m and promo >= 2:
+        if _keywords(line, low, promo):
             return "K", n
     elif m >= 2 and promo * 2 >= m:
         return "K", n

@@ -119,3 +119,13 @@ def test_short_lines_that_repeat(spark):
     honest = [["Red panel", "Oak floor", "Two large rooms", "Open kitchen", "Quiet street", "North window", "New roof", "Small yard", "Old barn", "Stone path", "Low fence"], ["fix typo", "fix typo", "fix typo"], [f"- name: {w}" for w in ("packWindow", "sort_probe", "map_cell", "trim_meter") * 4]]
     rows = [(i, commit("first page", p)) for i, p in enumerate(pages)] + [(10 + i, commit("first page", p)) for i, p in enumerate(honest)]
     assert sorted(r.doc_id for r in spam.spam_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [0, 1]
+
+
+@pytest.mark.parametrize(("line", "want"), [
+    ('<a href="https://a.example/p/1">buy cheap sofa covers and the best garden lamps online today</a><br>', "K"),
+    ("https://a.example/p/1 sofa covers grey sofa covers large sofa covers corner sofa covers", "K"),
+    ("https://a.example/p/1 #BestSofa #SofaShop #CheapSofa #SofaSale #SofaNow #SofaDeal #BuySofa #TopSofa #NewSofa", "T"),
+    ("Merge branch 'main' of ssh://git.branch.example/branch/branch-a/branch-b/c/d into branch", "P"),
+    ("See https://docs.example/guide for how this keeps the order of all rows stable when tasks fail.", "P")])
+def test_words_beside_links(line, want):
+    assert spam.symbol(line)[0] == want
