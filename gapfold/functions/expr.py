@@ -27,13 +27,12 @@ def clean(c: Column) -> Column:
 
 
 def floor_div(a: Column, b: float) -> Column:
-    """a // b for doubles, b > 0: exact remainder first, then one division, so
-    that multiples of b fall into their own bin."""
+    """a // b for doubles, b > 0: a less its exact remainder is a whole number
+    of b up to one rounding of the division, so multiples of b fall into their
+    own bin; a negative remainder belongs to the bin below. `a` is named three
+    times only, which keeps nested expressions small."""
     d = F.lit(float(b))
-    m = a % d
-    q = (a - m) / d - F.when(m < 0, 1.0).otherwise(0.0)
-    f = F.floor(q).cast("double")
-    return F.when(q - f > 0.5, f + 1.0).otherwise(f)
+    return F.rint((a - a % d) / d) - F.when(a % d < 0, 1.0).otherwise(0.0)
 
 
 def bin_index(a: Column, b: float) -> Column:

@@ -14,8 +14,10 @@ SHARD_SHOTS = 65_536
 
 
 def distinct_shots(shots: DataFrame) -> DataFrame:
-    """One row per (scan_id, seq): the first loaded."""
-    w = Window.partitionBy("scan_id", "seq").orderBy("loaded_at")
+    """One row per (scan_id, seq): the first loaded; of rows loaded at one time
+    the first by their values, so that every run gives the same."""
+    rest = [c for c in shots.columns if c not in ("scan_id", "seq", "loaded_at")]
+    w = Window.partitionBy("scan_id", "seq").orderBy("loaded_at", *rest)
     return shots.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 

@@ -57,12 +57,31 @@ class Cube:
 
 
 def zenith_window(df: DataFrame, min_zenith: float, max_zenith: float, max_hr: float | None = None) -> DataFrame:
-    """zenith in [min, max) degrees; with max_hr the horizontal range below it."""
+    """zenith in [min, max) degrees; with max_hr the horizontal range below it.
+    NaN is above every number, so it is outside."""
     z = F.col("zenith")
-    out = df.where((z >= math.radians(min_zenith)) & (z < math.radians(max_zenith)) & ~F.isnan(z))
+    out = df.where((z >= math.radians(min_zenith)) & (z < math.radians(max_zenith)))
     return out if max_hr is None else out.where(F.col("range") * F.sin("zenith") < max_hr)
 
 
+def binned(df: DataFrame, cube: Cube, height: str | None = None, max_hr: float | None = None, keep: list[str] | None = None) -> DataFrame:
+    """df plus zi, ai and, with a height column, hi; zi is NULL outside the
+    cube's zenith window (and from max_hr of horizontal range on).
+
+    Meant to stand before the windows over a pulse: the bins are then computed
+    once per row, and three small numbers cross the shuffle in place of
+    coordinates and angles. keep: the columns of df that are still wanted."""
+    zi, ai = cube.angles()
+    z = F.col("zenith")
+    inside = (z >= math.radians(cube.min_z)) & (z < math.radians(cube.max_z))
+    if max_hr is not None:
+        inside = inside & (F.col("range") * F.sin("zenith") < max_hr)
+    cols = [F.when(inside, zi).alias("zi"), ai.alias("ai")]
+    if height:
+        cols.append(cube.height(expr.clean(F.col(height))).alias("hi"))
+    return df.select(*(keep if keep is not None else df.columns), *cols)
+
+
 def target_weight(method: str) -> Column:
     if method == "WEIGHTED":
         return 1 / F.nullif(F.col("target_count").cast("double"), F.lit(0.0))
@@ -76,19 +95,21 @@ def target_weight(method: str) -> Column:
 
 
 def targets(points: DataFrame, cube: Cube, method: str = "WEIGHTED", height: str = "height") -> DataFrame:
-    """zi, ai, hi, w: summed weights of the returns in each bin."""
-    zi, ai = cube.angles()
-    d = points.select(zi, ai, cube.height(expr.clean(F.col(height))), target_weight(method).alias("w")).where("w is not null")
+    """zi, ai, hi, w: summed weights of the returns in each bin. points may be
+    binned already."""
+    b = points if "hi" in points.columns else binned(points, cube, height)
+    d = b.select("zi", "ai", "hi", target_weight(method).alias("w")).where("w is not null")
     inside = F.col("zi").between(0, cube.nz - 1) & F.col("ai").between(0, cube.na - 1) & F.col("hi").between(0, cube.nh - 1)
     return d.where(inside).groupBy("zi", "ai", "hi").agg(F.sum("w").alias("w"))
 
 
 def shots(pulses: DataFrame, cube: Cube, method: str = "WEIGHTED") -> DataFrame:
-    """zi, ai, n: shots (for ALL: their returns) in each bin."""
-    zi, ai = cube.angles()
+    """zi, ai, n: shots (for ALL: their returns) in each bin. pulses may be
+    binned already."""
+    b = pulses if "zi" in pulses.columns else binned(pulses, cube)
     n = F.sum(F.col("target_count").cast("double")) if method == "ALL" else F.count(F.lit(1)).cast("double")
     inside = F.col("zi").between(0, cube.nz - 1) & F.col("ai").between(0, cube.na - 1)
-    return pulses.select(zi, ai, "target_count").where(inside).groupBy("zi", "ai").agg(n.alias("n"))
+    return b.select("zi", "ai", "target_count").where(inside).groupBy("zi", "ai").agg(n.alias("n"))
 
 
 def leaf_cube(shot_table: DataFrame, cube: Cube, method: str = "FIRSTLAST") -> tuple[DataFrame, DataFrame]:

@@ -17,12 +17,26 @@ PULSE_KEY = ["scan_id", "scanline", "scanline_idx"]
 ROTATION = [f"r{i}{j}" for i in range(3) for j in range(3)]
 
 
-def distinct_points(points: DataFrame) -> DataFrame:
-    """One row per (scan_id, riegl_id): the first loaded. Rows without
-    coordinates (NULL or NaN) are left out before the shuffle."""
-    ok = points.where(F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("z").isNotNull() & ~F.isnan("x") & ~F.isnan("y") & ~F.isnan("z"))
+def with_coordinates(points: DataFrame) -> DataFrame:
+    """points without the rows whose x, y or z is NULL or NaN."""
+    ok = F.lit(True)
+    for c in "xyz":
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
+    return points.where(ok)
+
+
+def first_loaded(points: DataFrame) -> DataFrame:
+    """One row per pulse key and riegl_id (see distinct_points)."""
     w = Window.partitionBy(*PULSE_KEY).orderBy("riegl_id", "loaded_at")
-    return ok.withColumn("__id", F.lag("riegl_id").over(w)).where("not (riegl_id <=> __id)").drop("__id")
+    return points.withColumn("__id", F.lag("riegl_id").over(w)).where("riegl_id is null or not (riegl_id <=> __id)").drop("__id")
+
+
+def distinct_points(points: DataFrame) -> DataFrame:
+    """One row per pulse key and riegl_id: the first loaded. Returns without a
+    riegl_id can't be told to be copies and all stay. Rows without coordinates
+    (NULL or NaN) are left out before the shuffle. The copies of a return agree in
+    what was measured, so filters on that may come before."""
+    return first_loaded(with_coordinates(points))
 
 
 def distinct_pulses(pulses: DataFrame) -> DataFrame:
@@ -60,18 +74,18 @@ def points_by_pulse(pulses: DataFrame, points: DataFrame, columns: list[str]) ->
     return pulses.join(arr, PULSE_KEY, "left").withColumn("returns", F.coalesce("returns", F.array().cast(arr.schema["returns"].dataType)))
 
 
-def transformed(points: DataFrame, scans: DataFrame, translate: bool = True) -> DataFrame:
+def transformed(points: DataFrame, scans: DataFrame, translate: bool = True, position: bool = False) -> DataFrame:
     """Returns in project coordinates: x, y, z rotated by their scan's matrix
     and moved by its position; zenith and azimuth from the rotated, unmoved
-    coordinates. The scans are a small dimension the engine broadcasts if they
-    are small enough."""
+    coordinates. position=True keeps the scan's tx, ty, tz. The scans are a small
+    dimension the engine broadcasts if they are small enough."""
     side = scans.select("scan_id", *ROTATION, "tx", "ty", "tz")
     x, y, z = expr.rotate(F.col("x"), F.col("y"), F.col("z"))
     j = points.join(side, "scan_id").withColumns({"__x": x, "__y": y, "__z": z})
     rx, ry, rz = F.col("__x"), F.col("__y"), F.col("__z")
     out = {"zenith": expr.zenith_of(rx, ry, rz), "azimuth": expr.azimuth_of(rx, ry)}
     out |= {c: v + F.col(f"t{c}") if translate else v for c, v in (("x", rx), ("y", ry), ("z", rz))}
-    return j.withColumns(out).drop("__x", "__y", "__z", *ROTATION, "tx", "ty", "tz")
+    return j.withColumns(out).drop("__x", "__y", "__z", *ROTATION, *([] if position else ["tx", "ty", "tz"]))
 
 
 def transformed_pulses(pulses: DataFrame, scans: DataFrame) -> DataFrame:

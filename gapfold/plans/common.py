@@ -65,7 +65,7 @@ def fd(a: str, b: float) -> str:
 
 KEY = "scan_id, scanline, scanline_idx"
 PTS = f"""pts as (select * exclude (pid) from (select *, lag(riegl_id) over (partition by {KEY} order by riegl_id, loaded_at) as pid from points_rdb
-    where x is not null and y is not null and z is not null and not isnan(x) and not isnan(y) and not isnan(z)) where pid is distinct from riegl_id)"""
+    where x is not null and y is not null and z is not null and not isnan(x) and not isnan(y) and not isnan(z)) where riegl_id is null or pid is distinct from riegl_id)"""
 PUL = f"pul as (select * from pulses qualify row_number() over (partition by {KEY} order by pulse_id, timestamp) = 1)"
 ROT = ", ".join(f"x * r0{j} + y * r1{j} + z * r2{j} as r{a}" for j, a in enumerate("xyz"))
 ANGLES = f"""case when sqrt(rx * rx + ry * ry + rz * rz) > 0 then acos(least(greatest(rz / sqrt(rx * rx + ry * ry + rz * rz), -1.0::double), 1.0::double)) end as zenith,
@@ -78,7 +78,10 @@ def moved_sql(source: str = "pts", name: str = "tp") -> str:
 
 
 MOVED = f"{PTS}, {moved_sql()}"
-LEAF = f"""one as (select * from leaf_shots qualify row_number() over (partition by scan_id, seq order by loaded_at) = 1),
+# pulses with the angles of their rotated direction, like the returns'
+TURNED = f"""tu as (select * exclude (rx, ry, rz, zenith, azimuth), {ANGLES} from (select p.*, {", ".join(f"beam_direction_x * r0{j} + beam_direction_y * r1{j} + beam_direction_z * r2{j} as r{a}" for j, a in enumerate("xyz"))}
+    from pul p join scans using (scan_id)))"""
+LEAF = f"""one as (select * from leaf_shots qualify row_number() over (partition by scan_id, seq order by loaded_at, sample_count nulls first, scan_encoder nulls first) = 1),
     val as (select * exclude (scan_encoder, rotary_encoder, sample_time, range1, range2),
         {", ".join(f"case when not isnan({c}) and {c} <> -1 then {c} end as {c}" for c in ("scan_encoder", "rotary_encoder", "sample_time"))},
         {", ".join(f"case when not isnan(range{n}) and range{n} <> -1 and range{n} <= 120 and coalesce(intensity{n}, 1) > 0 then range{n} end as range{n}" for n in (1, 2))} from one),

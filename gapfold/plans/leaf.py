@@ -15,7 +15,8 @@ from gapfold.sources import leaf_files
 from gapfold.sources.tables import table
 
 R = Registry()
-_NAME = r"^(\w{8})_(\d{4})_(hemi|hinge|ground)_(\d{8}-\d{6})Z_(\d{4})_(\d{4})(?:\.csv)?$"
+_NAME = leaf_files.SCAN_NAME
+_UNITS = ", ".join(f"'{k}'" for k in leaf_files.UNIT_KEYS)
 
 
 def _part(i: int) -> str:
@@ -35,9 +36,9 @@ def leaf_filename(spark, d):
     k as (select file_id, line_no, case when f is null or line_no < f then 'header' else 'footer' end as section,
         case when regexp_matches(t, '^#\s*Finished') then 'Finished' when regexp_matches(t, '^#\s*GPS') then 'GPS' else trim(regexp_extract(t, '^#\s*([^:]*):', 1)) end as key,
         case when regexp_matches(t, '^#\s*Finished') then regexp_extract(t, '^#\s*Finished\s+(\S+)', 1) when regexp_matches(t, '^#\s*GPS') then trim(regexp_extract(t, '^#\s*GPS:?(.*)$', 1))
-        when trim(regexp_extract(t, '^#\s*([^:]*):', 1)) in ('Batt', 'Curr', 'Lidar Temp', 'Motor Temp', 'Encl. Temp', 'Encl. humidity') then regexp_extract(trim(regexp_extract(t, '^#[^:]*:(.*)$', 1)), '^(\S+)', 1)
+        when trim(regexp_extract(t, '^#\s*([^:]*):', 1)) in (""" + _UNITS + r""") then regexp_extract(trim(regexp_extract(t, '^#[^:]*:(.*)$', 1)), '^(\S+)', 1)
         else trim(regexp_extract(t, '^#[^:]*:(.*)$', 1)) end as value from n)
-    select file_id, section, key, arg_min(value, line_no) as value from k where key <> '' group by all""")
+    select file_id, section, key, arg_max(value, line_no) as value from k where key <> '' group by all""")
 def leaf_meta(spark, d):
     return leaf_files.meta(table(spark, d, "leaf_lines"))
 

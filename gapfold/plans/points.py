@@ -143,6 +143,14 @@ def height_above_plane(spark, d):
     return moved(spark, d).select("scan_id", "riegl_id", r6(pulses.height_above_plane((0.5, 0.01, -0.02)), "height"))
 
 
+@R.add("height_without_plane", f"""with {MOVED} select scan_id, riegl_id, z - (s.tz - 1.5::double) as height, z + (s.tz - 1.5::double) as legacy
+    from tp join (select scan_id, tz from scans) s using (scan_id)""")
+def height_without_plane(spark, d):
+    p = pulses.transformed(points(spark, d), table(spark, d, "scans"), position=True)
+    h = lambda old: pulses.height_above_sensor_ground(F.col("tz"), 1.5, old)
+    return p.select("scan_id", "riegl_id", h(False).alias("height"), h(True).alias("legacy"))
+
+
 @R.add("zenith_filter", f"""with {MOVED} select scan_id, riegl_id from tp where zenith >= radians(35::double) and zenith < radians(70::double) and range * sin(zenith) < 20""")
 def zenith_filter(spark, d):
     from gapfold.operators.profiles import zenith_window

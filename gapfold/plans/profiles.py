@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from gapfold.functions import expr
+from pyspark.sql import functions as F
+
+from gapfold.functions import expr, predicate
 from gapfold.operators import profiles, pulses
 from gapfold.operators.profiles import Cube
-from gapfold.plans.common import KEY, LEAF_GEO, PTS, PUL, Registry, fd, leaf_geometry, moved_sql, points, r6, r6s, shots
+from gapfold.plans.common import KEY, LEAF_GEO, PTS, PUL, TURNED, Registry, fd, leaf_geometry, moved_sql, r6, r6s
 from gapfold.sources.tables import table
 
 R = Registry()
@@ -16,14 +18,27 @@ LEAF_CUBE = Cube(hres=0.5, zres=5, ares=360, min_z=55, max_z=60, min_h=0, max_h=
 FILTER = "reflectance > -20"
 
 
+RETURN = [*pulses.PULSE_KEY, "riegl_id", "loaded_at", "target_index"]
+SHOT = [*pulses.PULSE_KEY, "pulse_id", "timestamp", "target_count"]
+
+
+def _binned_returns(spark, d, height, max_hr=None):
+    """Returns that pass the filter, once each, re-indexed within their pulse,
+    with the bins of their rotated direction and height."""
+    p = predicate.where(pulses.with_coordinates(table(spark, d, "points_rdb")), FILTER)
+    p = pulses.transformed(p, table(spark, d, "scans"), position=True).withColumn("height", height)
+    return pulses.reindex_targets(pulses.first_loaded(profiles.binned(p, CUBE, "height", max_hr, RETURN)))
+
+
 def _points(spark, d):
-    p = pulses.reindex_targets(points(spark, d), FILTER)
-    p = pulses.transformed(p, table(spark, d, "scans")).withColumn("height", pulses.height_above_plane((0.0, 0.0, 0.0)))
-    return profiles.zenith_window(p, CUBE.min_z, CUBE.max_z)
+    return _binned_returns(spark, d, pulses.height_above_plane((0.0, 0.0, 0.0)))
 
 
 def _pulses(spark, d):
-    return profiles.zenith_window(shots(spark, d), CUBE.min_z, CUBE.max_z)
+    """Pulses, once each, with the bins of their rotated direction: shots and
+    returns stand in one frame."""
+    p = pulses.transformed_pulses(table(spark, d, "pulses"), table(spark, d, "scans"))
+    return pulses.distinct_pulses(profiles.binned(p, CUBE, keep=SHOT))
 
 
 def _gap(spark, d, method="WEIGHTED", **azimuth):
@@ -36,7 +51,7 @@ def _rad(x: float) -> str:
 
 
 _FILTERED = f"""{PTS}, fp as (select * exclude (target_index, target_count), row_number() over (partition by {KEY} order by target_index, riegl_id) as target_index,
-    count(*) over (partition by {KEY}) as target_count from pts where reflectance > -20 and not isnan(reflectance)), {moved_sql('fp')}, {PUL}"""
+    count(*) over (partition by {KEY}) as target_count from pts where reflectance > -20 and not isnan(reflectance)), {moved_sql('fp')}, {PUL}, {TURNED}"""
 
 
 def _cube(cube: Cube, source: str, height: str, window: bool = True) -> str:
@@ -47,23 +62,23 @@ def _cube(cube: Cube, source: str, height: str, window: bool = True) -> str:
 _WEIGHT = {"WEIGHTED": "1.0::double / target_count", "FIRSTLAST": "0.5::double", "ALL": "1.0::double", "FIRST": "case when target_index = 1 then 1.0::double end"}
 
 
-def _tgt(method: str) -> str:
-    return f"""tg as (select zi, ai, hi, sum(w) as w from (select zi, ai, hi, {_WEIGHT[method]} as w from {_cube(CUBE, 'tp', 'z')}) where w is not null
+def _tgt(method: str, source: str = "tp", height: str = "z") -> str:
+    return f"""tg as (select zi, ai, hi, sum(w) as w from (select zi, ai, hi, {_WEIGHT[method]} as w from {_cube(CUBE, source, height)}) where w is not null
         and zi between 0 and {CUBE.nz - 1} and ai between 0 and {CUBE.na - 1} and hi between 0 and {CUBE.nh - 1} group by all)"""
 
 
 def _sht(method: str) -> str:
     n = "sum(target_count)::double" if method == "ALL" else "count(*)::double"
-    return f"sh as (select zi, ai, {n} as n from {_cube(CUBE, 'pul', '0.0::double')} where zi between 0 and {CUBE.nz - 1} and ai between 0 and {CUBE.na - 1} group by all)"
+    return f"sh as (select zi, ai, {n} as n from {_cube(CUBE, 'tu', '0.0::double')} where zi between 0 and {CUBE.nz - 1} and ai between 0 and {CUBE.na - 1} group by all)"
 
 
-def _cov(method: str = "WEIGHTED") -> str:
-    return f"""{_FILTERED}, {_tgt(method)}, {_sht(method)}, cv as (select zi, ai, hi, sum(coalesce(w, 0)) over (partition by zi, ai order by hi rows unbounded preceding) / n as cover
+def _cov(method: str = "WEIGHTED", source: str = "tp", height: str = "z", more: str = "") -> str:
+    return f"""{_FILTERED}, {more}{_tgt(method, source, height)}, {_sht(method)}, cv as (select zi, ai, hi, sum(coalesce(w, 0)) over (partition by zi, ai order by hi rows unbounded preceding) / n as cover
         from (select * from sh, (select unnest(range({CUBE.nh}))::int as hi) where n > 0) left join tg using (zi, ai, hi))"""
 
 
-def _gap_sql(bins: list[int], method: str = "WEIGHTED") -> str:
-    return f"{_cov(method)}, gp as (select zi, hi, 1 - avg(cover) as pgap from cv where ai in ({', '.join(map(str, bins))}) group by all)"
+def _gap_sql(bins: list[int], method: str = "WEIGHTED", source: str = "tp", height: str = "z", more: str = "") -> str:
+    return f"{_cov(method, source, height, more)}, gp as (select zi, hi, 1 - avg(cover) as pgap from cv where ai in ({', '.join(map(str, bins))}) group by all)"
 
 
 _ALL_BINS = profiles.azimuth_bins(CUBE)
@@ -96,7 +111,7 @@ for _m in profiles.METHODS:
 
 for _name, _m in (("shots_count", "WEIGHTED"), ("shots_all", "ALL")):
 
-    @R.add(_name, f"with {PUL}, {_sht(_m)} select zi, ai, n from sh")
+    @R.add(_name, f"with {PUL}, {TURNED}, {_sht(_m)} select zi, ai, n from sh")
     def _shots(spark, d, method=_m):
         return profiles.shots(_pulses(spark, d), CUBE, method)
 
@@ -115,11 +130,24 @@ for _name, _kw in _AZ.items():
         return _gap(spark, d, **kw).select("zi", "hi", r6("pgap", "pgap"))
 
 
-@R.add("profile_riegl", f"with {_gap_sql(_ALL_BINS, 'FIRST')} select zi, hi, {r6s('pgap', 'pgap')} from gp")
-def profile_riegl(spark, d):
+@R.add("pgap_first", f"with {_gap_sql(_ALL_BINS, 'FIRST')} select zi, hi, {r6s('pgap', 'pgap')} from gp")
+def pgap_first(spark, d):
     return _gap(spark, d, "FIRST").select("zi", "hi", r6("pgap", "pgap"))
 
 
+SENSOR_HEIGHT, MAX_HR = 1.5, 20.0
+_OVER_GROUND = f"sg as (select t.*, z - (s.tz - {SENSOR_HEIGHT!r}::double) as above from tp t join (select scan_id, tz from scans) s using (scan_id) where range * sin(zenith) < {MAX_HR!r}::double), "
+
+
+@R.add("profile_riegl", f"with {_gap_sql(_ALL_BINS, 'WEIGHTED', 'sg', 'above', _OVER_GROUND)} select zi, hi, {r6s('pgap', 'pgap')} from gp")
+def profile_riegl(spark, d):
+    """One profile of all scan positions, each with its ground a sensor height
+    below it (no plane), returns within a horizontal range."""
+    t = _binned_returns(spark, d, pulses.height_above_sensor_ground(F.col("tz"), SENSOR_HEIGHT), MAX_HR)
+    cov = profiles.cover(profiles.targets(t, CUBE), profiles.shots(_pulses(spark, d), CUBE), CUBE)
+    return profiles.pgap(cov, CUBE).select("zi", "hi", r6("pgap", "pgap"))
+
+
 @R.add("pai_hinge", f"with {_GAP}, {_HI}, {_HINGE} select hi, {r6s('pai', 'pai')} from hg")
 def pai_hinge(spark, d):
     return profiles.pai_hinge(_gap(spark, d), CUBE).select("hi", r6("pai", "pai"))

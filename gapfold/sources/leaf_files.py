@@ -55,7 +55,7 @@ def meta(lines: DataFrame) -> DataFrame:
 
     Before the first body line is the header, after it the footer. `Finished`
     gives the duration, `GPS` its list; values of keys with a unit lose it. The
-    first of equal keys stays.
+    last of equal keys of a section stays.
     """
     body = lines.where(is_body(F.col("line_text"))).groupBy("file_id").agg(F.min("line_no").alias("first"))
     text = F.trim("line_text")
@@ -68,7 +68,7 @@ def meta(lines: DataFrame) -> DataFrame:
          .when(key.isin(UNIT_KEYS), F.regexp_extract(value, r"^(\S+)", 1)).otherwise(value))
     j = note.join(body, "file_id", "left").select(
         "file_id", F.when(F.col("first").isNull() | (F.col("line_no") < F.col("first")), "header").otherwise("footer").alias("section"), k.alias("key"), v.alias("value"), "line_no")
-    return j.where("key <> ''").groupBy("file_id", "section", "key").agg(F.min_by("value", "line_no").alias("value"))
+    return j.where("key <> ''").groupBy("file_id", "section", "key").agg(F.max_by("value", "line_no").alias("value"))
 
 
 def power_rows(df: DataFrame) -> DataFrame:
