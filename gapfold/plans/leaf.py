@@ -214,16 +214,64 @@ def double_sigmoid(spark, d):
     return x.select("x", r6(expr.double_sigmoid([2, 5, 0.1, 20, 0.1, 200], F.col("x")), "y"))
 
 
-@R.add("rsmooth")
+def _smooth_sql(source: str, p: float, max_k: int) -> str:
+    """CTE `sm` (id, part, j, value, smooth, weight, good) of the series in
+    `source` (id, part, ys: a list, NULL where missing) smoothed with the penalty
+    10^p: the smoothing matrix of each length, and one recursion per series."""
+    def norm(v):
+        return f"sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
+
+    def minus(a, b):
+        return f"list_transform(list_zip({a}, {b}), lambda q: q[1] - q[2])"
+
+    root = math.sqrt(1 + 16 * 10.0**p)
+    spread = 1.4826 * math.sqrt(1 - math.sqrt(1 + root) / math.sqrt(2) / root)
+    pi = f"{math.pi!r}::double"
+    return f"""src as ({source}), ns as (select distinct len(ys) as n from src),
+    kk as (select n, unnest(range(n)) as k from ns), gg as (select n, k, (case when k = 0 then 1.0::double else 2.0::double end) / n / (1 + {10.0**p!r}::double * pow(2 * cos({pi} * k / n) - 2, 2)) as g from kk),
+    mx as (select n, list(r order by i) as m from (select n, i, list(v order by j) as r from (select a.n, a.k as i, b.k as j, sum(g * cos({pi} * (2 * a.k + 1) * gg.k / (2 * a.n)) * cos({pi} * (2 * b.k + 1) * gg.k / (2 * a.n))) as v
+        from kk a join kk b on a.n = b.n join gg on gg.n = a.n group by all) group by all) group by n),
+    st as (select id, part, n, list_transform(ys, lambda x: coalesce(x, 0.0::double)) as y, list_transform(ys, lambda x: case when x is null then 0.0::double else 1.0::double end) as w,
+            list_transform(ys, lambda x: coalesce(x, 0.0::double)) as z, 0 as k from (select *, len(ys) as n from src) where len(list_filter(ys, lambda x: x is not null)) > 0
+        union all select id, part, n, y, case when rest then list_transform(u, lambda x: case when x < 1 then pow(1 - x * x, 2) when x is null then 1.0::double else 0.0::double end) else w end, z2, k + rest::int
+        from (select *, list_transform(r, lambda x: abs(x) / nullif({spread!r}::double * list_median(list_transform(r, lambda v: abs(v - list_median(r)))), 0) / 4.685::double) as u
+            from (select *, not ({norm(minus('z', 'z2'))} > 1e-5::double * {norm('z2')}) as rest, {minus('y', 'z2')} as r
+                from (select * exclude (m, v), list_transform(m, lambda row: list_dot_product(row, v)) as z2
+                    from (select st.*, m, list_transform(list_zip(w, y, z), lambda q: q[1] * (q[2] - q[3]) + q[3]) as v from st join mx using (n) where k < {max_k}))))),
+    sm as (select id, part, unnest(range(n))::int as j, unnest(y) as value, unnest(z) as smooth, unnest(w) as weight from st where k = {max_k})"""
+
+
+_SERIES = "select vec_id as id, 0 as part, list_transform(embedding, lambda x: case when x::double + 1 > 0 then x::double + 1 end) as ys from embeddings"
+
+
+@R.add("rsmooth", f"""with recursive {_smooth_sql(_SERIES, 1.0, 3)} select id as vec_id, j as i, {r6s('case when value > 0 then value end', 'value')}, {r6s('smooth', 'smooth')}, {r6s('weight', 'weight')},
+    value > 0 and weight > 0 and not (value - smooth < -1) as good, true as settled from sm""")
 def rsmooth(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    return series.smooth_series(e.withColumn("v", F.col("v").cast("double") + 1.0), "vec_id", "i", "v", p=1.0, max_k=3)
+    s = series.smooth_series(e.withColumn("v", F.col("v").cast("double") + 1.0), "vec_id", "i", "v", p=1.0, max_k=3)
+    return s.select("vec_id", "i", *[r6(expr.clean(F.col(c)), c) for c in ("value", "smooth", "weight")], "good", "settled")
+
+
+_DAYS = f"""days as (select user_id, min(day) as a, max(day) as b from ev group by 1), spine as (select user_id, unnest(generate_series(a, b, interval 1 day))::date as day from days),
+    full_ as (select user_id, day, value, row_number() over (partition by user_id order by day ) - 1 as pos from spine left join ev using (user_id, day))"""
+_CUT = [10, 20]
+_PART = f"case when pos < {_CUT[0]} then 0 when pos < {_CUT[1]} then 1 else 2 end"
+_PARTS = f"select user_id as id, {_PART} as part, list(case when value > 0 then value end order by pos) as ys from full_ group by all"
+
+
+@R.add("quality_flag_fixed", f"""with recursive {_EVENTS}, {_DAYS}, {_smooth_sql(_PARTS, 1.0, 6)} select user_id, (day - date '1970-01-01')::int as day_number, {r6s('sm.smooth', 'smooth')},
+    coalesce(full_.value > 0 and sm.weight > 0 and not (full_.value - sm.smooth < -1), false) as good from full_ left join sm on sm.id = user_id and sm.part = {_PART} and sm.j = pos - part * 10""")
+def quality_flag_fixed(spark, d):
+    """The flags with one penalty given for all segments."""
+    s = series.day_spine(_daily_events(spark, d), "user_id", "day", "value")
+    f = series.smooth_series(s, "user_id", "day", "value", p=1.0, segments=_CUT)
+    return f.select("user_id", F.unix_date("day").alias("day_number"), r6(expr.clean(F.col("smooth")), "smooth"), "good")
 
 
 @R.add("quality_flag")
 def quality_flag(spark, d):
     s = series.day_spine(_daily_events(spark, d), "user_id", "day", "value")
-    return series.smooth_series(s, "user_id", "day", "value", p=[1.0, None, 1.0], segments=[10, 20]).select("user_id", "day", "value", "smooth", "good")
+    return series.smooth_series(s, "user_id", "day", "value", p=[1.0, None, 1.0], segments=_CUT).select("user_id", "day", "value", "smooth", "good", "settled")
 
 
 @R.add("phenology_fit")
