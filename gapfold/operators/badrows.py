@@ -8,15 +8,22 @@ why. A quote edit outweighs any number of delimiter edits, and those outweigh
 value edits, so the reason is the heaviest kind of edit in the cheapest parse:
 `quoting`, `columns`, `value`.
 
-A line without any quote is its own zero-quote-cost parse: its only alignment
-is the split at commas, so its cost is read off in the JVM. Only lines with a
-quote, or with a cost above zero, visit the Python kernel, which runs the
-programme for a whole Arrow batch at once with NumPy.
+Where the delimiters that a line lacks go is decided by the types: inside a plain
+field that is no number but is made of several (`100-1.0`, `5.5.7`, `12 80`),
+between those; else at the end of the line, as of a line cut short. A number is
+never cut in two, which would make any line valid, and no delimiter is put beside
+a quote, which would turn a misplaced quote into a missing delimiter.
+
+A line without any quote and without a fault is its own zero-cost parse: its only
+alignment is the split at commas, which the JVM does. Only the other lines go
+through the Python kernel, which runs the programme for a whole Arrow batch at
+once with NumPy; the lines set apart are found there alone.
 
 Defined results: NULL text counts as blank and is not judged; empty files give
 no rows; rows written twice are judged twice; a NULL file_id is a file of its
 own (older columns); columns beyond file_id, line_no and line_text are ignored,
-whatever they are called. Line length is unbounded: the cost is linear in it.
+whatever they are called. Lines of any length: the time is linear in it, and the
+trace is kept in blocks, so memory is that of the line and one block.
 """
 
 from __future__ import annotations
@@ -24,20 +31,27 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gapfold.operators.leaf_layout import file_layouts, is_body
+from gapfold.operators.sharded import checked_side
+from gapfold.session import written
 
-QUOTE_COST, DELIM_COST = 1 << 40, 1 << 8
+QUOTE_COST, DELIM_COST = 1 << 40, 1 << 16
 _INF = 1 << 60
-#: Cells of the back-pointer table held at once; longer or more lines are cut into more batches.
+#: Cells of the back-pointer table held at once; the trace of longer or more lines is cut into blocks.
 TRACE_CELLS = 32_000_000
 _START, _PLAIN, _QUOTED, _CLOSED = range(4)
+#: Back pointer: the state before, and what was done.
+_OPENED, _DELETED, _PASSED, _INSERTED = 4, 8, 16, 32
 _COUNT = re.compile(r"[ \t]*\+?([0-9]+)[ \t]*", re.A)
 _TIME = re.compile(r"[ \t]*\+?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[ \t]*", re.A)
+_NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
+_SEVERAL = re.compile(rf"[ \t]*{_NUMBER}(?:[ \t]*{_NUMBER})+[ \t]*", re.A)
+_EACH = re.compile(_NUMBER, re.A)
 
 
 def _classes(texts: list[str], width: int) -> np.ndarray:
@@ -53,90 +67,121 @@ def _classes(texts: list[str], width: int) -> np.ndarray:
     return out
 
 
-def align(texts: list[str], n: int) -> list[tuple[int, int, list[str], list[str]]]:
+def _seams(text: str) -> list[int]:
+    """Places in plain fields where one number ends and the next begins."""
+    out, start = [], 0
+    for field in text.split(","):
+        if _SEVERAL.fullmatch(field) and not _TIME.fullmatch(field):
+            out += [start + m.start() for m in _EACH.finditer(field)][1:]
+        start += len(field) + 1
+    return out
+
+
+def _step(cost: np.ndarray, c: np.ndarray, seam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One character of every line: the new costs and the back pointers."""
+    s, u, q, e = (cost[:, k] for k in range(4))
+    open_in = s + QUOTE_COST < q
+    q1 = np.where(open_in, s + QUOTE_COST, q)
+    q1b = np.where(open_in, _START | _OPENED, _QUOTED).astype(np.uint8)
+    close_in = q + QUOTE_COST < e
+    e1 = np.where(close_in, q + QUOTE_COST, e)
+    e1b = np.where(close_in, _QUOTED | _OPENED, _CLOSED).astype(np.uint8)
+    new, nb = cost.copy(), np.broadcast_to(np.arange(4, dtype=np.uint8)[None, :, None], cost.shape).copy()
+    m = c == 0
+    if m.any():
+        best, frm = np.minimum(s[m], u[m]), np.where(s[m] < u[m], _START, _PLAIN).astype(np.uint8)
+        if seam.any():
+            cut = np.full_like(best, _INF)
+            cut[:, 1:] = np.where(seam[m][:, None], u[m][:, :-1] + DELIM_COST, _INF)
+            frm[cut < best] = _PLAIN | _INSERTED
+            best = np.minimum(best, cut)
+        new[m, _START] = _INF
+        new[m, _PLAIN], nb[m, _PLAIN] = best, frm
+        new[m, _QUOTED], nb[m, _QUOTED] = q1[m], q1b[m]
+        new[m, _CLOSED] = _INF
+    m = c == 1
+    if m.any():
+        new[m, _QUOTED], nb[m, _QUOTED] = q1[m], q1b[m]
+        new[m, _CLOSED], nb[m, _CLOSED] = e1[m], e1b[m]
+    m = c == 2
+    if m.any():
+        three = np.stack([s[m], u[m], e1[m]])
+        best, which = three.min(0), three.argmin(0)
+        frm = np.where(which == 2, e1b[m], which.astype(np.uint8)) | _PASSED
+        passed, pb = np.full_like(best, _INF), np.zeros_like(frm)
+        passed[:, 1:], pb[:, 1:] = best[:, :-1], frm[:, :-1]
+        stay = s[m] + DELIM_COST
+        keep = passed <= stay
+        new[m, _START], nb[m, _START] = np.where(keep, passed, stay), np.where(keep, pb, _START | _DELETED)
+        new[m, _PLAIN], nb[m, _PLAIN] = u[m] + DELIM_COST, _PLAIN | _DELETED
+        new[m, _CLOSED], nb[m, _CLOSED] = e1[m] + DELIM_COST, e1b[m] | _DELETED
+        new[m, _QUOTED], nb[m, _QUOTED] = q1[m], q1b[m]
+    m = c == 3
+    if m.any():
+        new[m, _START], nb[m, _START] = s[m] + QUOTE_COST, _START | _DELETED
+        new[m, _PLAIN], nb[m, _PLAIN] = u[m] + QUOTE_COST, _PLAIN | _DELETED
+        opened, kept = s[m], q[m] + QUOTE_COST
+        new[m, _QUOTED], nb[m, _QUOTED] = np.minimum(opened, kept), np.where(opened <= kept, _START, _QUOTED | _DELETED)
+        closed, kept = q1[m], e[m] + QUOTE_COST
+        new[m, _CLOSED], nb[m, _CLOSED] = np.minimum(closed, kept), np.where(closed <= kept, q1b[m], _CLOSED | _DELETED)
+    return np.minimum(new, _INF, out=new), nb
+
+
+def align(texts: list[str], n: int, cells: int = TRACE_CELLS) -> list[tuple[int, int, list[str], list[str]]]:
     """For each line: quote edits, delimiter edits, the edits in words, and the
     n fields of the cheapest parse (without quotes and outer blanks).
 
     State: where in a field the character stands (start, plain, quoted, after
-    the closing quote) and how many delimiters were passed. Missing delimiters
-    are inserted at the end of the line.
-    """
+    the closing quote) and how many delimiters were passed. Of parses of equal
+    cost the one with delimiters inserted at seams is taken before the one with
+    delimiters at the end. Costs are kept at the head of each block of characters
+    and the back pointers of a block worked out again on the way back."""
     size, width = len(texts), max((len(t) for t in texts), default=0)
     cls = _classes(texts, width)
+    seam = np.zeros((size, width), bool)
+    for i, t in enumerate(texts):
+        if t.count(",") < n - 1:
+            seam[i, _seams(t)] = True
     cost = np.full((size, 4, n), _INF, np.int64)
     cost[:, _START, 0] = 0
-    back = np.zeros((width, size, 4, n), np.uint8)  # from state | 4 inserted a quote | 8 deleted | 16 passed a delimiter
+    block = max(64, cells // (size * 4 * n))
+    heads = []
     for t in range(width):
-        c = cls[:, t]
-        s, u, q, e = (cost[:, k] for k in range(4))
-        open_in = s + QUOTE_COST < q
-        q1 = np.where(open_in, s + QUOTE_COST, q)
-        q1b = np.where(open_in, _START | 4, _QUOTED).astype(np.uint8)
-        close_in = q + QUOTE_COST < e
-        e1 = np.where(close_in, q + QUOTE_COST, e)
-        e1b = np.where(close_in, _QUOTED | 4, _CLOSED).astype(np.uint8)
-        new, nb = cost.copy(), np.broadcast_to(np.arange(4, dtype=np.uint8)[None, :, None], cost.shape).copy()
-        m = c == 0
-        if m.any():
-            plain = s[m] < u[m]
-            new[m, _START] = _INF
-            new[m, _PLAIN] = np.where(plain, s[m], u[m])
-            nb[m, _PLAIN] = np.where(plain, _START, _PLAIN)
-            new[m, _QUOTED], nb[m, _QUOTED] = q1[m], q1b[m]
-            new[m, _CLOSED] = _INF
-        m = c == 1
-        if m.any():
-            new[m, _QUOTED], nb[m, _QUOTED] = q1[m], q1b[m]
-            new[m, _CLOSED], nb[m, _CLOSED] = e1[m], e1b[m]
-        m = c == 2
-        if m.any():
-            three = np.stack([s[m], u[m], e1[m]])
-            best, which = three.min(0), three.argmin(0)
-            frm = np.where(which == 2, e1b[m], which.astype(np.uint8)) | 16
-            passed, pb = np.full_like(best, _INF), np.zeros_like(frm)
-            passed[:, 1:], pb[:, 1:] = best[:, :-1], frm[:, :-1]
-            stay = s[m] + DELIM_COST
-            keep = passed <= stay
-            new[m, _START], nb[m, _START] = np.where(keep, passed, stay), np.where(keep, pb, _START | 8)
-            new[m, _PLAIN], nb[m, _PLAIN] = u[m] + DELIM_COST, _PLAIN | 8
-            new[m, _CLOSED], nb[m, _CLOSED] = e1[m] + DELIM_COST, e1b[m] | 8
-            new[m, _QUOTED], nb[m, _QUOTED] = q1[m], q1b[m]
-        m = c == 3
-        if m.any():
-            new[m, _START], nb[m, _START] = s[m] + QUOTE_COST, _START | 8
-            new[m, _PLAIN], nb[m, _PLAIN] = u[m] + QUOTE_COST, _PLAIN | 8
-            opened, kept = s[m], q[m] + QUOTE_COST
-            new[m, _QUOTED], nb[m, _QUOTED] = np.minimum(opened, kept), np.where(opened <= kept, _START, _QUOTED | 8)
-            closed, kept = q1[m], e[m] + QUOTE_COST
-            new[m, _CLOSED], nb[m, _CLOSED] = np.minimum(closed, kept), np.where(closed <= kept, q1b[m], _CLOSED | 8)
-        np.minimum(new, _INF, out=new)
-        cost, back[t] = new, nb
-    pad = (n - 1 - np.arange(n)) * DELIM_COST
-    final = cost + pad[None, None, :]
+        if t % block == 0:
+            heads.append(cost)
+        cost, _ = _step(cost, cls[:, t], seam[:, t])
+    final = cost + ((n - 1 - np.arange(n)) * (DELIM_COST + 1))[None, None, :]
     final[:, _QUOTED] += QUOTE_COST
     flat = final.reshape(size, -1)
     at = flat.argmin(1)
-    out = []
-    for i, text in enumerate(texts):
-        total = int(flat[i, at[i]])
-        state, j = divmod(int(at[i]), n)
-        edits, fields, now = [], [[] for _ in range(n)], ""
-        edits += ["insert quote at end"] * (state == _QUOTED) + [f"insert {n - 1 - j} delimiter(s) at end"] * (j < n - 1)
-        for t in range(len(text) - 1, -1, -1):
-            b = int(back[t, i, state, j])
-            c, gone = text[t], b & 8
-            if gone:
-                edits.append(f"delete {'quote' if c == chr(34) else 'delimiter'} at {t + 1}")
-            elif b & 16:
-                j -= 1
-            elif c != '"' and not (c in " \t" and state in (_START, _CLOSED)):
-                fields[j].append(c)
-            if b & 4:
-                edits.append(f"insert quote before {t + 1}")
-            state = b & 3
-        edits.reverse()
-        out.append((total // QUOTE_COST, total % QUOTE_COST // DELIM_COST, edits, ["".join(reversed(f)).strip(" \t") for f in fields]))
-    return out
+    total = flat[np.arange(size), at]
+    state, j = (at // n).tolist(), (at % n).tolist()
+    edits = [["insert quote at end"] * (state[i] == _QUOTED) + [f"insert {n - 1 - j[i]} delimiter(s) at end"] * (j[i] < n - 1) for i in range(size)]
+    fields: list = [[[] for _ in range(n)] for _ in range(size)]
+    for number in range(len(heads) - 1, -1, -1):
+        first, stop = number * block, min(width, (number + 1) * block)
+        now, back = heads.pop(), []
+        for t in range(first, stop):
+            now, nb = _step(now, cls[:, t], seam[:, t])
+            back.append(nb)
+        for i, text in enumerate(texts):
+            st, k, own, told = state[i], j[i], fields[i], edits[i]
+            for t in range(min(stop, len(text)) - 1, first - 1, -1):
+                b, c = int(back[t - first][i, st, k]), text[t]
+                if b & _DELETED:
+                    told.append(f"delete {'quote' if c == chr(34) else 'delimiter'} at {t + 1}")
+                elif b & _PASSED:
+                    k -= 1
+                elif c != '"' and not (c in " \t" and st in (_START, _CLOSED)):
+                    own[k].append(c)
+                if b & _INSERTED:
+                    told.append(f"insert delimiter before {t + 1}")
+                    k -= 1
+                if b & _OPENED:
+                    told.append(f"insert quote before {t + 1}")
+                st = b & 3
+            state[i], j[i] = st, k
+    return [(int(v // QUOTE_COST), int(v % QUOTE_COST // DELIM_COST), told[::-1], ["".join(reversed(f)).strip(" \t") for f in own]) for v, told, own in zip(total, edits, fields)]
 
 
 def value_edits(fields: list[str], count_at: int, time_at: int) -> list[str]:
@@ -152,35 +197,42 @@ def value_edits(fields: list[str], count_at: int, time_at: int) -> list[str]:
     return bad
 
 
-_RESULT = T.StructType([
+_RESULT = [
+    T.StructField("values", T.ArrayType(T.StringType())),
     T.StructField("reason", T.StringType()),
     T.StructField("quote_edits", T.IntegerType()),
     T.StructField("delimiter_edits", T.IntegerType()),
     T.StructField("edits", T.StringType()),
-    T.StructField("fields", T.ArrayType(T.StringType())),
-])
+]
 
 
-@F.pandas_udf(_RESULT)
-def _parse(text: pd.Series, n: pd.Series, count_at: pd.Series, time_at: pd.Series) -> pd.DataFrame:
-    res: list = [(None, None, None, None, None)] * len(text)
-    todo = [i for i, t in enumerate(text) if t is not None]
-    todo.sort(key=lambda i: (n.iat[i], len(text.iat[i])))
+def _parse_batch(text: list[str], n: list[int], count_at: list[int], time_at: list[int]) -> list[tuple]:
+    """values, reason, quote edits, delimiter edits and edits of each line; lines
+    of like width and length go through the programme together."""
+    res: list = [None] * len(text)
+    todo = sorted(range(len(text)), key=lambda i: (n[i], len(text[i])))
     k = 0
     while k < len(todo):
-        cols, stop, longest = int(n.iat[todo[k]]), k, 0
-        while stop < len(todo) and int(n.iat[todo[stop]]) == cols:
-            longest = max(1, len(text.iat[todo[stop]]))
-            if stop > k and (stop - k + 1) * longest * 4 * cols > TRACE_CELLS:
-                break
+        cols, stop = n[todo[k]], k + 1
+        while stop < len(todo) and n[todo[stop]] == cols and (stop + 1 - k) * max(1, len(text[todo[stop]])) * 4 * cols <= TRACE_CELLS:
             stop += 1
         batch = todo[k:stop]
-        for i, (quotes, delims, edits, fields) in zip(batch, align([text.iat[i] for i in batch], cols)):
-            bad = [] if quotes or delims else value_edits(fields, int(count_at.iat[i]), int(time_at.iat[i]))
+        for i, (quotes, delims, edits, fields) in zip(batch, align([text[i] for i in batch], cols)):
+            bad = [] if quotes or delims else value_edits(fields, count_at[i], time_at[i])
             reason = "quoting" if quotes else "columns" if delims else "value" if bad else None
-            res[i] = (reason, quotes, delims, "; ".join(edits + bad), fields)
+            res[i] = (fields, reason, quotes, delims, "; ".join(edits + bad))
         k = stop
-    return pd.DataFrame(res, columns=_RESULT.names)
+    return res
+
+
+def _kernel(batches):
+    for b in batches:
+        col = lambda name: b.column(b.schema.get_field_index(name)).to_pylist()  # noqa: E731, B023
+        got = _parse_batch(col("text"), col("n"), col("count_at"), col("time_at"))
+        kept = ["file_id", "line_no", "names", "fields"]
+        types = [pa.list_(pa.string()), pa.string(), pa.int32(), pa.int32(), pa.string()]
+        yield pa.RecordBatch.from_arrays(
+            [*[b.column(b.schema.get_field_index(c)) for c in kept], *[pa.array([g[i] for g in got], t) for i, t in enumerate(types)]], [*kept, *[f.name for f in _RESULT]])
 
 
 def _sound(fields: Column, count_at: Column, time_at: Column) -> Column:
@@ -190,39 +242,54 @@ def _sound(fields: Column, count_at: Column, time_at: Column) -> Column:
         F.coalesce(F.expr("null").cast("long"), F.when(digits == "", F.lit(0)).otherwise(F.when(F.length(digits) <= 10, digits).cast("long"))) <= 2147483647)
     number = F.trim(F.translate(time, "\t", " "))
     good_time = time.rlike(r"^[ \t]*\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*$") & (number.try_cast("double") < F.lit(float("inf")))
-    missing = lambda at: at.isNull() | (at < 0)
+    missing = lambda at: at < 0
     return F.coalesce((missing(count_at) | good_count) & (missing(time_at) | good_time), F.lit(False))
 
 
+def layouts_of(lines: DataFrame) -> DataFrame:
+    """file_layouts, written: they serve several branches."""
+    return written(file_layouts(lines.select("file_id", "line_no", "line_text")), "layouts")
+
+
+def _rows(lines: DataFrame, layouts: DataFrame) -> DataFrame:
+    """Body lines with their file's layout, and whether they are clean. The
+    layouts (one narrow row per file) are broadcast up to a checked size, beyond
+    it they meet the lines in a join that the engine splits where a file is hot."""
+    side = checked_side(layouts.select(
+        "file_id", "names", "fields", F.size("names").alias("n"),
+        F.coalesce(F.array_position("fields", "sample_count") - 1, F.lit(-1)).cast("int").alias("count_at"),
+        F.coalesce(F.array_position("fields", "sample_time") - 1, F.lit(-1)).cast("int").alias("time_at")),
+        F.octet_length(F.array_join("names", ",")) + F.octet_length(F.array_join("fields", ",")) + 64 * F.size("names"))
+    own = lines.select("file_id", "line_no", "line_text")
+    a, b = own.where(is_body(F.col("line_text"))).withColumn("text", F.regexp_replace("line_text", r"\r\z", "")).alias("a"), side.alias("b")
+    rows = a.join(b, F.col("a.file_id").eqNullSafe(F.col("b.file_id")), "inner").select("a.file_id", "line_no", "text", "names", "fields", "n", "count_at", "time_at")
+    split = F.split("text", ",", -1)
+    return rows.withColumn("clean", F.coalesce(~F.col("text").contains('"') & (F.size(split) == F.col("n")) & _sound(split, F.col("count_at"), F.col("time_at")), F.lit(False)))
+
+
+def _edited(rows: DataFrame) -> DataFrame:
+    """The parse of the lines that are not clean."""
+    r = rows.where("not clean").select("file_id", "line_no", "names", "fields", "text", "n", "count_at", "time_at")
+    return r.mapInArrow(_kernel, T.StructType([*r.schema.fields[:4], *_RESULT]))
+
+
 def parse_lines(lines: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
     """Each body line with its parse:
     file_id, line_no, names, fields, values (one text per column), reason
     (NULL for a good row), quote_edits, delimiter_edits, edits.
 
-    layouts: the result of file_layouts on the same lines, if at hand."""
-    own = lines.select("file_id", "line_no", "line_text")
-    layouts = (file_layouts(own) if layouts is None else layouts).select(
-        "file_id", "names", "fields", F.size("names").alias("n"),
-        (F.array_position("fields", "sample_count") - 1).cast("int").alias("count_at"),
-        (F.array_position("fields", "sample_time") - 1).cast("int").alias("time_at"))
-    a = own.where(is_body(F.col("line_text"))).withColumn("text", F.regexp_replace("line_text", r"\r\z", "")).alias("a")
-    b = layouts.alias("b")
-    rows = a.join(b, F.col("a.file_id").eqNullSafe(F.col("b.file_id")), "inner").select(
-        "a.file_id", "line_no", "text", "names", "fields", "n", "count_at", "time_at")
-    split = F.split("text", ",", -1)
-    clean = F.coalesce(~F.col("text").contains('"') & (F.size(split) == F.col("n")) & _sound(split, F.col("count_at"), F.col("time_at")), F.lit(False))
-    rows = rows.withColumn("clean", clean)
-    p = rows.withColumn("p", _parse(F.when(~F.col("clean"), F.col("text")), "n", F.coalesce("count_at", F.lit(-1)), F.coalesce("time_at", F.lit(-1))))
-    plain = F.transform(F.split("text", ",", -1), lambda x: F.trim(F.translate(x, "\t", " ")))
-    return p.select(
-        "file_id", "line_no", "names", "fields", F.when(F.col("clean"), plain).otherwise(F.col("p.fields")).alias("values"),
-        F.col("p.reason").alias("reason"), F.coalesce("p.quote_edits", F.lit(0)).alias("quote_edits"),
-        F.coalesce("p.delimiter_edits", F.lit(0)).alias("delimiter_edits"), F.coalesce("p.edits", F.lit("")).alias("edits"))
+    layouts: the result of layouts_of on the same lines, if at hand."""
+    rows = _rows(lines, layouts_of(lines) if layouts is None else layouts)
+    plain = rows.where("clean").select(
+        "file_id", "line_no", "names", "fields", F.split(F.regexp_replace("text", r"^[ \t]+|[ \t]+$|[ \t]*(,)[ \t]*", "$1"), ",", -1).alias("values"),
+        F.lit(None).cast("string").alias("reason"), F.lit(0).alias("quote_edits"), F.lit(0).alias("delimiter_edits"), F.lit("").alias("edits"))
+    return plain.unionByName(_edited(rows))
 
 
 def bad_rows(lines: DataFrame) -> DataFrame:
-    """The lines set apart: file_id, line_no, reason, edits."""
-    return parse_lines(lines).where("reason is not null").select("file_id", "line_no", "reason", "edits")
+    """The lines set apart: file_id, line_no, reason, edits. Clean lines leave
+    the plan at their filter."""
+    return _edited(_rows(lines, layouts_of(lines))).where("reason is not null").select("file_id", "line_no", "reason", "edits")
 
 
 def good_rows(lines: DataFrame) -> DataFrame:

@@ -1,16 +1,22 @@
 """Schemas that drift between files.
 
-Every file's header gives its columns; its good rows give each field a type on
-the lattice integer < decimal < text. The types fold upward (the greatest wins)
-into one union schema, every file is cast to it, and neighbouring files of an
-instrument are compared in order of time to list each change with the file in
-which it first shows.
+Every file's header gives its columns; its good rows say which types can hold
+each of them. A type is a set of the storage types that hold a value exactly
+(long, double, decimal(38,0), text), and types fold by intersection: the lattice
+of promotion. The fold over all files is the union schema, to which every file
+is cast, so no value present is lost. The differences between neighbouring files
+of an instrument, in order of time, are the log, each with the file in which it
+first shows and the union type its field is cast to.
+
+The log speaks of three kinds of a field in a file: integer < decimal < text
+(text as soon as a value is no plain signed decimal number).
 
 Defined results: a file received twice (same file_name) counts once, as its
 smallest file_id; files of equal datetime are ordered by file_name; a file
 without lines has no layout and is passed over; a field without any value in a
-file has type integer (nothing in it is text or has a point); an instrument
-with one file has no change; empty tables give no rows.
+file is integer (nothing in it is text or has a point) and fits every type; an
+instrument with one file has no change; empty tables give no rows; a column no
+rule knows is a field of its own name.
 """
 
 from __future__ import annotations
@@ -18,40 +24,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapfold.operators.badrows import parse_lines
-from gapfold.operators.leaf_layout import COLUMNS_NEW, file_layouts
+from gapfold.operators.badrows import layouts_of, parse_lines
+from gapfold.operators.leaf_layout import COLUMNS_NEW
 from gapfold.operators.sharded import with_previous
 from gapfold.session import written
 
-#: The lattice, lowest first.
+#: The kinds of the log, lowest first.
 LATTICE = ["integer", "decimal", "text"]
-SQL_TYPE = {"integer": "long", "decimal": "double", "text": "string"}
+#: Storage types, the first that holds all values is the union type; each is a bit of a value's set.
+STORAGE = [("bigint", 1), ("double", 2), ("decimal(38,0)", 4), ("string", 8)]
 #: Files of one instrument are compared inside shards of so many days.
 SHARD_DAYS = 30
+#: Names of columns that may be found in all headers; more are no schema.
+MAX_NAMES = 10_000
 
 
 def _value(field: str) -> Column:
     return F.trim(F.get("values", (F.array_position("fields", field) - 1).cast("int")))
 
 
+def is_missing(value: Column) -> Column:
+    """NULL, empty, or -1.0 in any notation."""
+    return F.coalesce((value == "") | value.startswith("-") & value.rlike(r"^-0*1(\.0*)?$"), F.lit(True))
+
+
 def level(value: Column) -> Column:
-    """Place on the lattice of one text value; NULL for a missing one."""
+    """Place on the log's lattice of one text value; NULL for a missing one."""
     plain = value.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$")
-    missing = value.isNull() | (value == "") | F.coalesce(plain & (value.try_cast("double") == -1.0), F.lit(False))
-    return F.when(missing, None).when(~plain, 2).when(value.contains("."), 1).otherwise(0)
+    return F.when(is_missing(value), None).when(~plain, 2).when(value.contains("."), 1).otherwise(0)
 
 
-def file_schemas(lines: DataFrame, fields: list[str]) -> DataFrame:
-    """file_id, and for each field a struct (name as written, level).
+def holders(value: Column) -> Column:
+    """Bits of the storage types that hold one text value exactly; NULL for a
+    missing one. A double holds 15 significant digits."""
+    whole = F.length(F.regexp_replace(value, r"^[+-]?0*", ""))
+    digits = F.length(F.regexp_replace(F.regexp_replace(value, r"[eE].*$|[.+-]", ""), r"^0+|0+$", ""))
+    size = F.abs(value.try_cast("double"))
+    safe = (digits <= 15) & ((size == 0) & (digits == 0) | size.between(1e-290, 1e290))
+    return (F.when(is_missing(value), None)
+            .when(value.rlike(r"^[+-]?[0-9]+$"), F.when(whole <= 15, 15).when(whole <= 18, 13).when(whole <= 38, 12).otherwise(8))
+            .when(value.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$") & F.coalesce(safe, F.lit(False)), 10).otherwise(8))
 
-    The layouts (one row per file) serve twice, so they are written once."""
+
+def file_schemas(lines: DataFrame, fields: list[str], layouts: DataFrame | None = None) -> DataFrame:
+    """file_id, and for each field, as s0, s1, ..., a struct (name as written,
+    level, holders)."""
     own = lines.select("file_id", "line_no", "line_text")
-    layouts = written(file_layouts(own), "layouts")
-    levels = parse_lines(own, layouts).where("reason is null").groupBy("file_id").agg(*[F.max(level(_value(f))).alias(f"level_{f}") for f in fields])
+    layouts = layouts_of(own) if layouts is None else layouts
+    good = parse_lines(own, layouts).where("reason is null").select("file_id", *[_value(f).alias(f"v{i}") for i, f in enumerate(fields)])
+    types = good.groupBy("file_id").agg(*[g(f"v{i}").alias(f"{n}{i}") for i in range(len(fields)) for n, g in (
+        ("l", lambda c: F.max(level(F.col(c)))), ("h", lambda c: F.bit_and(holders(F.col(c)))))])
     at = lambda f: F.get("names", (F.nullif(F.array_position("fields", f), F.lit(0)) - 1).cast("int"))
-    a, b = layouts.alias("a"), levels.alias("b")
+    a, b = layouts.alias("a"), types.alias("b")
     return a.join(b, F.col("a.file_id").eqNullSafe(F.col("b.file_id")), "left").select(
-        "a.file_id", *[F.struct(at(f).alias("name"), F.coalesce(f"level_{f}", F.lit(0)).alias("level")).alias(f) for f in fields])
+        "a.file_id", *[F.struct(at(f).alias("name"), F.coalesce(f"l{i}", F.lit(0)).alias("level"), F.coalesce(f"h{i}", F.lit(15)).alias("holders")).alias(f"s{i}") for i, f in enumerate(fields)])
+
+
+def fold(schemas: DataFrame, fields: list[str]) -> dict[str, str]:
+    """The union schema: the type of each field over all files. One row comes to
+    the driver."""
+    r = schemas.agg(*[F.bit_and(f"s{i}.holders").alias(f"h{i}") for i in range(len(fields))]).first()
+    return {f: next(t for t, bit in STORAGE if (15 if r[i] is None else r[i]) & bit) for i, f in enumerate(fields)}
 
 
 def distinct_files(files: DataFrame) -> DataFrame:
@@ -60,15 +93,17 @@ def distinct_files(files: DataFrame) -> DataFrame:
     return pick.select("file_name", "f.*")
 
 
-def layout_changes(lines: DataFrame, files: DataFrame, fields: tuple[str, ...] = ("intensity2", "scan_encoder")) -> DataFrame:
-    """Changes between neighbouring files of an instrument:
-    serial_number, scan_count (of the later file), field_name, change_kind,
-    before, after, file_name."""
+def change_log(lines: DataFrame, files: DataFrame, fields: tuple[str, ...] = ("intensity2", "scan_encoder")) -> DataFrame:
+    """The log of the fold: serial_number, at (the later file's datetime),
+    scan_count (of the later file), field_name, change_kind, before, after,
+    file_name, union_type."""
+    wanted = list(fields)
+    schemas = written(file_schemas(lines, wanted), "schemas")
+    union = fold(schemas, wanted)
     own = files.select("file_id", "file_name", "serial_number", "scan_count", "datetime")
-    per = distinct_files(own).join(file_schemas(lines, list(fields)), "file_id")
-    long = per.select(
+    long = distinct_files(own).join(schemas, "file_id").select(
         "serial_number", "scan_count", "datetime", "file_name",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"{f}.name").alias("name"), F.col(f"{f}.level").alias("level")) for f in fields])).alias("x"),
+        F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.lit(union[f]).alias("union_type"), F.col(f"s{i}.name").alias("name"), F.col(f"s{i}.level").alias("level")) for i, f in enumerate(wanted)])).alias("x"),
     ).select("serial_number", "scan_count", "datetime", "file_name", "x.*").withColumn("here", F.lit(True))
     shard = F.floor(F.unix_date(F.to_date("datetime")) / SHARD_DAYS)
     seq = with_previous(long, ["serial_number", "field_name"], shard, ["datetime", "file_name"], ["name", "level", "here"])
@@ -82,22 +117,30 @@ def layout_changes(lines: DataFrame, files: DataFrame, fields: tuple[str, ...] =
     tell = lambda k, name, lev: F.when(k == "retyped", word(lev)).otherwise(name)
     out = seq.where(p["here"].isNotNull()).withColumn("change_kind", F.explode(kind))
     return out.select(
-        "serial_number", "scan_count", "field_name", "change_kind",
-        tell(F.col("change_kind"), p["name"], p["level"]).alias("before"), tell(F.col("change_kind"), F.col("name"), F.col("level")).alias("after"), "file_name")
+        "serial_number", F.col("datetime").alias("at"), "scan_count", "field_name", "change_kind",
+        tell(F.col("change_kind"), p["name"], p["level"]).alias("before"), tell(F.col("change_kind"), F.col("name"), F.col("level")).alias("after"), "file_name", "union_type")
+
+
+def union_fields(layouts: DataFrame) -> list[str]:
+    """The LEAF fields, then every other field of any header by name."""
+    names = layouts.select(F.explode("fields").alias("f")).where(~F.col("f").isin(COLUMNS_NEW)).distinct().limit(MAX_NAMES + 1).collect()
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} column names in the headers")
+    return [*COLUMNS_NEW, *sorted(r["f"] for r in names)]
 
 
 def unified_rows(lines: DataFrame) -> DataFrame:
-    """All good rows of all files as one table in the union schema.
-
-    The union type of a field is the fold of its types over all files: one row
-    with a level per LEAF field comes to the driver. Missing values (-1.0,
-    empty, or a field the file lacks) are NULL.
-    """
-    p = parse_lines(lines.select("file_id", "line_no", "line_text")).where("reason is null")
-    top = p.agg(*[F.max(level(_value(f))).alias(f) for f in COLUMNS_NEW]).first()
+    """All good rows of all files as one table in the union schema: file_id,
+    line_no, the LEAF fields, and every other column found in a header under its
+    own name (with `_` behind it where it would clash). Missing values (-1.0,
+    empty, or a field the file lacks) are NULL; every other value is kept, a text
+    without its outer blanks."""
+    own = lines.select("file_id", "line_no", "line_text")
+    layouts = layouts_of(own)
+    fields = union_fields(layouts)
+    union = fold(file_schemas(own, fields, layouts), fields)
     cols = []
-    for f in COLUMNS_NEW:
-        v, kind = _value(f), SQL_TYPE[LATTICE[top[f] or 0]]
-        present = F.when(level(v).isNotNull(), F.regexp_replace(v, r"^\+", ""))
-        cols.append((present if kind == "string" else present.try_cast(kind)).alias(f))
-    return p.select("file_id", "line_no", *cols)
+    for f in fields:
+        v = _value(f)
+        cols.append(F.when(~is_missing(v), v if union[f] == "string" else F.regexp_replace(v, r"^\+", "").cast(union[f])).alias(f + "_" if f in ("file_id", "line_no") else f))
+    return parse_lines(own, layouts).where("reason is null").select("file_id", "line_no", *cols)

@@ -48,26 +48,30 @@ def header_names(text: Column) -> Column:
     return F.when(F.size(F.array_intersect(F.transform(names, _bare), known)) >= 3, names)
 
 
+def _tokens(name: Column) -> Column:
+    """The words and numbers of a name, in lower case between blanks:
+    `scanEncoderCount2` gives ` scan encoder count 2 `."""
+    apart = F.regexp_replace(F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2"), "([A-Za-z])(?=[0-9])|([0-9])(?=[A-Za-z])", "$1$2 ")
+    return F.concat(F.lit(" "), F.lower(F.regexp_replace(apart, "[^A-Za-z0-9]+", " ")), F.lit(" "))
+
+
 def canonical(names: Column) -> Column:
-    """Field of each column. A name that is not a LEAF name is resolved by its
-    parts (an encoder that is not the rotary one; an intensity of the second
-    return), else by its neighbour (after range2; beside sample_count)."""
-    bare = F.transform(names, _bare)
-    fixed = [c for c in COLUMNS_NEW]
-
-    def one(name: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(bare, i - 1))
-        after = F.get(bare, i + 1)
-        out = F.when(name.contains("enc") & ~name.contains("rot"), "scan_encoder")
-        for c in fixed:
-            out = out.when(name == c.replace("_", ""), c)
-        out = out.when(name.rlike("(int|amp|refl)") & name.rlike("(2|second)"), "intensity2")
-        out = out.when(name.rlike("(scan|zenith)") & ~name.rlike("(rot|azi)"), "scan_encoder")
-        out = out.when(before == "range2", "intensity2")
-        out = out.when((before == "samplecount") & (after == "rotaryencoder"), "scan_encoder")
-        return out.otherwise(name)
-
-    return F.transform(bare, one)
+    """Field of each column: the LEAF field its name spells or says in other
+    words (an encoder that is not the rotary one; an intensity or amplitude of the
+    second return), else its own name: what a column holds is not guessed from
+    its place or its values, so an unknown one stays unresolved and is carried
+    under its own name."""
+
+    def one(name: Column) -> Column:
+        bare, said = _bare(name), _tokens(name)
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for c in COLUMNS_NEW:
+            out = out.when(bare == c.replace("_", ""), c)
+        out = out.when(said.rlike(" (enc|encoder) ") & ~said.rlike(" (rot|rotary|azi|azimuth) "), "scan_encoder")
+        out = out.when(said.rlike(" (int|intensity|amp|amplitude|refl|reflectance) ") & said.rlike(" (2|2nd|second) "), "intensity2")
+        return out.otherwise(F.lower(F.trim(name)))
+
+    return F.transform(names, one)
 
 
 def file_layouts(lines: DataFrame) -> DataFrame:

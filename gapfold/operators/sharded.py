@@ -12,6 +12,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes of a join side that may be broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def checked_side(df: DataFrame, width: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df as the side of a join: broadcast if its rows, `width` bytes each, are
+    at most `limit` in all (one aggregate counts them), else joined by a sort-merge
+    join, whose hot keys the engine splits. df should be a written table."""
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df.hint("merge")
+
+
 def with_previous(df: DataFrame, keys: list[str], shard: Column, order: list[str], carry: list[str], name: str = "prev") -> DataFrame:
     """df plus a struct `name` of the carried columns of the row before.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gapfold.operators import badrows, compaction, drift, percentiles, regrid
+from gapfold.operators.leaf_layout import COLUMNS_NEW
 from gapfold.sources.tables import table
 
 
@@ -19,7 +20,7 @@ def p1_compact(spark, d):
 
 
 def p2_found(spark, d):
-    c = drift.layout_changes(table(spark, d, "leaf_lines"), table(spark, d, "leaf_files"))
+    c = drift.change_log(table(spark, d, "leaf_lines"), table(spark, d, "leaf_files"))
     return c.select("serial_number", "scan_count", "field_name", "change_kind")
 
 
@@ -27,6 +28,14 @@ def p2_unified(spark, d):
     return drift.unified_rows(table(spark, d, "leaf_lines"))
 
 
+def p2_unified_values(spark, d):
+    """The union table's LEAF fields as numbers, and how many of them a row has;
+    whatever the union types are."""
+    u = drift.unified_rows(table(spark, d, "leaf_lines"))
+    number = [F.col(c).cast("string").try_cast("double").alias(c) for c in COLUMNS_NEW]
+    return u.select("file_id", "line_no", *number, sum((F.col(c).isNotNull().cast("int") for c in COLUMNS_NEW), F.lit(0)).alias("present"))
+
+
 def p3_percentiles(spark, d):
     return percentiles.point_percentiles(table(spark, d, "points_rdb"))
 
@@ -52,7 +61,7 @@ def p5_rows(spark, d):
     return badrows.good_rows(table(spark, d, "leaf_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_compact, p2_found, p2_unified, p3_percentiles, p3_combined, p4_found, p4_grid, p5_found, p5_rows)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_compact, p2_found, p2_unified, p2_unified_values, p3_percentiles, p3_combined, p4_found, p4_grid, p5_found, p5_rows)}
 
 _CLEAN = r"""trim(regexp_replace(trim(f, ' ' || chr(9) || chr(13)), '^"([^"]*)"$', '\1'), ' ' || chr(9) || chr(13))"""
 _RECORDS = r"""
@@ -130,10 +139,16 @@ _ROWS = r"""pl as (select file_id, names, list_filter(range(1, len(names) + 1),
         nullif(try_cast(f[list_position(names, 'range1')] as double), -1) as range1, trunc(nullif(try_cast(f[list_position(names, 'intensity1')] as double), -1))::int as intensity1,
         nullif(try_cast(f[list_position(names, 'range2')] as double), -1) as range2, trunc(nullif(try_cast(f[i] as double), -1))::int as intensity2, f[list_position(names, 'sample_time')]::double as sample_time from x"""
 
+_FIELD = {c: f"f[list_position(names, '{c}')]" for c in COLUMNS_NEW} | {"scan_encoder": "f[e]", "intensity2": "f[i]"}
+_PRESENT = {c: f"case when {v} <> '' and not regexp_full_match({v}, '-0*1([.]0*)?') then {v} end" for c, v in _FIELD.items()}
+_UNIFIED = (_ROWS[:_ROWS.index("    select file_id")] + "    select file_id, line_no, " + ", ".join(f"try_cast({v} as double) as {c}" for c, v in _PRESENT.items())
+            + ", " + " + ".join(f"({v} is not null)::int" for v in _PRESENT.values()) + " as present from x")
+
 SQL = {
     "p1_found": f"with {_RECORDS} select fragment_id, line_no from ranked where rn > 1",
     "p1_compact": f"with {_RECORDS} select (select count(*) from leaf_fragments) as files_in, (select sum(strlen(body)) from leaf_fragments)::bigint as bytes_in, count(*) as records, 1::bigint as files_out from ranked where rn = 1",
     "p2_found": f"with {_LAYOUT}, {_CHANGES} select serial_number, scan_count, field_name, change_kind from changes where change_kind is not null",
+    "p2_unified_values": f"with {_LAYOUT}, {_UNIFIED}",
     "p3_percentiles": """with l as (unpivot (select scan_id, cast(null as date) as day, 0 as level, x, y, z from points_rdb union all select scan_id, loaded_at::date, 1, x, y, z from points_rdb) on x, y, z into name col value v),
         o as (select *, row_number() over (partition by level, scan_id, day, col order by v) as rn, count(*) over (partition by level, scan_id, day, col) as n from l where not isnan(v))
         select scan_id, day, level, col, n, permille, v + 0.0 as value, 0.0::double as rank_error from o, (select unnest([10, 50, 250, 500, 750, 950, 990]) as permille) where rn = greatest(1, (permille * n + 999) // 1000)""",

@@ -120,3 +120,16 @@ def test_batches_are_cut(monkeypatch):
     whole = [r[:2] for r in align(lines, 2)]
     monkeypatch.setattr(badrows, "TRACE_CELLS", 64)
     assert [align([x], 2)[0][:2] for x in lines] == whole
+
+
+def test_missing_delimiters_at_seams():
+    got = align(["1,2,100-1.0,4", "1,2,3.5.6,4", "1,2 80,3,4", "1,2,3", "1,23,4,5", "1,x-1,3,4", '1,"2" 80,3,4'], 5)
+    assert [g[2] for g in got[:6]] == [["insert delimiter before 8"], ["insert delimiter before 8"], ["insert delimiter before 5"], ["insert 2 delimiter(s) at end"], ["insert 1 delimiter(s) at end"], ["insert 1 delimiter(s) at end"]]
+    assert got[0][3] == ["1", "2", "100", "-1.0", "4"] and got[2][3] == ["1", "2", "80", "3", "4"]
+    assert [g[0] for g in got] == [0] * 6 + [2]  # no delimiter is put beside a quote
+
+
+def test_trace_in_blocks():
+    rng = random.Random(7)
+    lines = ["".join(rng.choice('1,"" ,a.-') for _ in range(rng.randint(1, 400))) for _ in range(30)]
+    assert align(lines, 6, cells=1) == align(lines, 6)
