@@ -238,10 +238,10 @@ def _kernel(batches):
 def _sound(fields: Column, count_at: Column, time_at: Column) -> Column:
     count, time = F.get(fields, count_at), F.get(fields, time_at)
     digits = F.regexp_replace(F.trim(F.translate(count, "\t", " ")), r"^\+?0*", "")
-    good_count = count.rlike(r"^[ \t]*\+?[0-9]+[ \t]*$") & (F.length(digits) <= 10) & (
+    good_count = count.rlike(r"^[ \t]*\+?[0-9]+[ \t]*\z") & (F.length(digits) <= 10) & (
         F.coalesce(F.expr("null").cast("long"), F.when(digits == "", F.lit(0)).otherwise(F.when(F.length(digits) <= 10, digits).cast("long"))) <= 2147483647)
     number = F.trim(F.translate(time, "\t", " "))
-    good_time = time.rlike(r"^[ \t]*\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*$") & (number.try_cast("double") < F.lit(float("inf")))
+    good_time = time.rlike(r"^[ \t]*\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*\z") & (number.try_cast("double") < F.lit(float("inf")))
     missing = lambda at: at < 0
     return F.coalesce((missing(count_at) | good_count) & (missing(time_at) | good_time), F.lit(False))
 

@@ -45,12 +45,12 @@ def _value(field: str) -> Column:
 
 def is_missing(value: Column) -> Column:
     """NULL, empty, or -1.0 in any notation."""
-    return F.coalesce((value == "") | value.startswith("-") & value.rlike(r"^-0*1(\.0*)?$"), F.lit(True))
+    return F.coalesce((value == "") | value.startswith("-") & value.rlike(r"^-0*1(\.0*)?\z"), F.lit(True))
 
 
 def level(value: Column) -> Column:
     """Place on the log's lattice of one text value; NULL for a missing one."""
-    plain = value.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$")
+    plain = value.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z")
     return F.when(is_missing(value), None).when(~plain, 2).when(value.contains("."), 1).otherwise(0)
 
 
@@ -62,8 +62,8 @@ def holders(value: Column) -> Column:
     size = F.abs(value.try_cast("double"))
     safe = (digits <= 15) & ((size == 0) & (digits == 0) | size.between(1e-290, 1e290))
     return (F.when(is_missing(value), None)
-            .when(value.rlike(r"^[+-]?[0-9]+$"), F.when(whole <= 15, 15).when(whole <= 18, 13).when(whole <= 38, 12).otherwise(8))
-            .when(value.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$") & F.coalesce(safe, F.lit(False)), 10).otherwise(8))
+            .when(value.rlike(r"^[+-]?[0-9]+\z"), F.when(whole <= 15, 15).when(whole <= 18, 13).when(whole <= 38, 12).otherwise(8))
+            .when(value.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z") & F.coalesce(safe, F.lit(False)), 10).otherwise(8))
 
 
 def file_schemas(lines: DataFrame, fields: list[str], layouts: DataFrame | None = None) -> DataFrame:

@@ -146,7 +146,7 @@ _UNIFIED = (_ROWS[:_ROWS.index("    select file_id")] + "    select file_id, lin
 
 SQL = {
     "p1_found": f"with {_RECORDS} select fragment_id, line_no from ranked where rn > 1",
-    "p1_compact": f"with {_RECORDS} select (select count(*) from leaf_fragments) as files_in, (select sum(strlen(body)) from leaf_fragments)::bigint as bytes_in, count(*) as records, 1::bigint as files_out from ranked where rn = 1",
+    "p1_compact": f"with {_RECORDS} select (select count(*) from leaf_fragments) as files_in, (select sum(strlen(body)) from leaf_fragments)::bigint as bytes_in, count(*) as records, true as well_sized from ranked where rn = 1",
     "p2_found": f"with {_LAYOUT}, {_CHANGES} select serial_number, scan_count, field_name, change_kind from changes where change_kind is not null",
     "p2_unified_values": f"with {_LAYOUT}, {_UNIFIED}",
     "p3_percentiles": """with l as (unpivot (select scan_id, cast(null as date) as day, 0 as level, x, y, z from points_rdb union all select scan_id, loaded_at::date, 1, x, y, z from points_rdb) on x, y, z into name col value v),
