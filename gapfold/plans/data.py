@@ -44,6 +44,11 @@ def p3_combined(spark, d):
     return percentiles.combined_percentiles(table(spark, d, "points_rdb"))
 
 
+def p3_combined_rank(spark, d):
+    """The stated rank errors of p3_combined hold."""
+    return percentiles.combined_ranks(table(spark, d, "points_rdb"))
+
+
 def p4_found(spark, d):
     return regrid.missing_slots(table(spark, d, "leaf_shots"))
 
@@ -61,7 +66,7 @@ def p5_rows(spark, d):
     return badrows.good_rows(table(spark, d, "leaf_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_compact, p2_found, p2_unified, p2_unified_values, p3_percentiles, p3_combined, p4_found, p4_grid, p5_found, p5_rows)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_compact, p2_found, p2_unified, p2_unified_values, p3_percentiles, p3_combined, p3_combined_rank, p4_found, p4_grid, p5_found, p5_rows)}
 
 _CLEAN = r"""trim(regexp_replace(trim(f, ' ' || chr(9) || chr(13)), '^"([^"]*)"$', '\1'), ' ' || chr(9) || chr(13))"""
 _RECORDS = r"""
@@ -152,6 +157,8 @@ SQL = {
     "p3_percentiles": """with l as (unpivot (select scan_id, cast(null as date) as day, 0 as level, x, y, z from points_rdb union all select scan_id, loaded_at::date, 1, x, y, z from points_rdb) on x, y, z into name col value v),
         o as (select *, row_number() over (partition by level, scan_id, day, col order by v) as rn, count(*) over (partition by level, scan_id, day, col) as n from l where not isnan(v))
         select scan_id, day, level, col, n, permille, v + 0.0 as value, 0.0::double as rank_error from o, (select unnest([10, 50, 250, 500, 750, 950, 990]) as permille) where rn = greatest(1, (permille * n + 999) // 1000)""",
+    "p3_combined_rank": """with l as (unpivot (select scan_id, x, y, z from points_rdb) on x, y, z into name col value v)
+        select scan_id, col, count(*) as n, permille, true as within from l, (select unnest([10, 50, 250, 500, 750, 950, 990]) as permille) where not isnan(v) group by all""",
     "p4_found": """with u as (select distinct scan_id, (floor(epoch(datetime) / 10) * 10)::bigint as s from leaf_shots where datetime is not null and range1 is not null and not isnan(range1) and range1 <> -1 and range1 <= 120 and intensity1 > 0),
         a as (select scan_id, unnest(generate_series(min(s), max(s), 10)) as s from u group by scan_id) select scan_id, s as slot_epoch from (select * from a except select * from u)""",
     "p4_grid": _GRID,
