@@ -293,13 +293,20 @@ def _place_kernel(group: list[str], permilles: tuple[int, ...]):
     return run
 
 
-def _position(v: Column, edges: int) -> Column:
-    """2 * (pivots below v) + (1 if v is a pivot): v's place among the pivots."""
-    pos = F.lit(0)
-    for i in range(edges):
-        p = F.get(F.col("pivots"), F.lit(i))
-        pos = pos + F.when(v > p, 2).when(v == p, 1).otherwise(0)
-    return pos
+def _below(v: Column, a: int, b: int) -> Column:
+    """How many pivots are below v, by halving. A list shorter than b is as if
+    filled up with values above all."""
+    if a == b:
+        return F.lit(a)
+    m = (a + b) // 2
+    return F.when(v > F.get(F.col("pivots"), F.lit(m)), _below(v, m + 1, b)).otherwise(_below(v, a, m))
+
+
+def _positions(rows: DataFrame, group: list[str], edges: int) -> DataFrame:
+    """group and pos, the place of v among the pivots: 2 * (pivots below v) + (1
+    if v is one)."""
+    at = rows.withColumn("below", _below(F.col("v"), 0, edges))
+    return at.select(*group, (2 * F.col("below") + F.coalesce((F.col("v") == F.get("pivots", F.col("below"))).cast("int"), F.lit(0))).alias("pos"))
 
 
 def _same(a: str, b: str, keys: list[str]) -> Column:
@@ -363,7 +370,7 @@ def percentiles(df: DataFrame, levels: list[list[str]], columns: list[str], perm
             own = [i for i, lev in enumerate(levels) if set(lev) == set(keys)]
             finest = pivots.where(F.col("level") == own[0]).select(*keys).distinct() if own else wide.select(*keys).distinct()
         edges = pivots.agg(F.max(F.size("pivots"))).first()[0] or 0
-        place = rows.with_payload(pivots, group, ["pivots"], finest).select(*group, _position(F.col("v"), edges).alias("pos"))
+        place = _positions(rows.with_payload(pivots, group, ["pivots"], finest), group, edges)
         counts = place.groupBy(*group, "pos").agg(F.count(F.lit(1)).alias("n")).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("counts"))
         both = pivots.alias("a").join(counts.alias("b").hint("merge"), _same("a", "b", group)).select("a.*", "b.counts")
         schema = T.StructType([*[pivots.schema[c] for c in group], T.StructField("tag", T.IntegerType()), T.StructField("k", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in ("value", "range_lo", "range_hi")]])
