@@ -50,7 +50,6 @@ _OPENED, _DELETED, _PASSED, _INSERTED = 4, 8, 16, 32
 _COUNT = re.compile(r"[ \t]*\+?([0-9]+)[ \t]*", re.A)
 _TIME = re.compile(r"[ \t]*\+?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[ \t]*", re.A)
 _NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)"
-_SEVERAL = re.compile(rf"[ \t]*{_NUMBER}(?:[ \t]*{_NUMBER})+[ \t]*", re.A)
 _EACH = re.compile(_NUMBER, re.A)
 
 
@@ -71,8 +70,9 @@ def _seams(text: str) -> list[int]:
     """Places in plain fields where one number ends and the next begins."""
     out, start = [], 0
     for field in text.split(","):
-        if _SEVERAL.fullmatch(field) and not _TIME.fullmatch(field):
-            out += [start + m.start() for m in _EACH.finditer(field)][1:]
+        parts = list(_EACH.finditer(field))
+        if len(parts) > 1 and not _EACH.sub("", field).strip(" \t") and not _TIME.fullmatch(field):
+            out += [start + m.start() for m in parts[1:]]
         start += len(field) + 1
     return out
 
@@ -127,29 +127,54 @@ def _step(cost: np.ndarray, c: np.ndarray, seam: np.ndarray) -> tuple[np.ndarray
     return np.minimum(new, _INF, out=new), nb
 
 
-def align(texts: list[str], n: int, cells: int = TRACE_CELLS) -> list[tuple[int, int, list[str], list[str]]]:
-    """For each line: quote edits, delimiter edits, the edits in words, and the
-    n fields of the cheapest parse (without quotes and outer blanks).
-
-    State: where in a field the character stands (start, plain, quoted, after
-    the closing quote) and how many delimiters were passed. Of parses of equal
-    cost the one with delimiters inserted at seams is taken before the one with
-    delimiters at the end. Costs are kept at the head of each block of characters
-    and the back pointers of a block worked out again on the way back."""
+def _runs(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """The lines as runs of characters that the programme treats alike: a comma
+    or a quote each, a stretch of blanks or of other characters up to the next
+    seam. Per line and run the class (4 past the end) and whether a seam stands
+    before it; per line where its runs begin, and its length."""
     size, width = len(texts), max((len(t) for t in texts), default=0)
     cls = _classes(texts, width)
     seam = np.zeros((size, width), bool)
     for i, t in enumerate(texts):
         if t.count(",") < n - 1:
             seam[i, _seams(t)] = True
+    head = (cls == 2) | (cls == 3) | seam
+    head[:, :1] = True
+    head[:, 1:] |= cls[:, 1:] != cls[:, :-1]
+    head &= cls != 4
+    count = head.sum(1)
+    line, at = np.nonzero(head)
+    place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    most = int(count.max(initial=0))
+    kind, cut = np.full((size, most), 4, np.uint8), np.zeros((size, most), bool)
+    kind[line, place], cut[line, place] = cls[line, at], seam[line, at]
+    begins = [own.tolist() + [len(t)] for own, t in zip(np.split(at, np.cumsum(count)[:-1]), texts)]
+    return kind, cut, begins
+
+
+def align(texts: list[str], n: int, cells: int = TRACE_CELLS) -> list[tuple[int, int, list[str], list[str]]]:
+    """For each line: quote edits, delimiter edits, the edits in words, and the
+    n fields of the cheapest parse (without quotes and outer blanks).
+
+    State: where in a field the run of characters stands (start, plain, quoted,
+    after the closing quote) and how many delimiters were passed. Of parses of
+    equal cost the one with delimiters inserted at seams is taken before the one
+    with delimiters at the end. Costs are kept at the head of each block of runs;
+    the back pointers of the last block are at hand, those of a block before it
+    are worked out again on the way back."""
+    size = len(texts)
+    cls, seam, begins = _runs(texts, n)
+    width = cls.shape[1]
     cost = np.full((size, 4, n), _INF, np.int64)
     cost[:, _START, 0] = 0
     block = max(64, cells // (size * 4 * n))
-    heads = []
+    heads, back = [], []
     for t in range(width):
         if t % block == 0:
             heads.append(cost)
-        cost, _ = _step(cost, cls[:, t], seam[:, t])
+            back = []
+        cost, nb = _step(cost, cls[:, t], seam[:, t])
+        back.append(nb)
     final = cost + ((n - 1 - np.arange(n)) * (DELIM_COST + 1))[None, None, :]
     final[:, _QUOTED] += QUOTE_COST
     flat = final.reshape(size, -1)
@@ -160,25 +185,30 @@ def align(texts: list[str], n: int, cells: int = TRACE_CELLS) -> list[tuple[int,
     fields: list = [[[] for _ in range(n)] for _ in range(size)]
     for number in range(len(heads) - 1, -1, -1):
         first, stop = number * block, min(width, (number + 1) * block)
-        now, back = heads.pop(), []
-        for t in range(first, stop):
-            now, nb = _step(now, cls[:, t], seam[:, t])
-            back.append(nb)
+        now = heads.pop()
+        if stop < width:
+            back = []
+            for t in range(first, stop):
+                now, nb = _step(now, cls[:, t], seam[:, t])
+                back.append(nb)
+        way = np.stack(back).reshape(stop - first, size, 4 * n)
         for i, text in enumerate(texts):
-            st, k, own, told = state[i], j[i], fields[i], edits[i]
-            for t in range(min(stop, len(text)) - 1, first - 1, -1):
-                b, c = int(back[t - first][i, st, k]), text[t]
+            st, k, own, told, begin = state[i], j[i], fields[i], edits[i], begins[i]
+            steps = way[:, i].tolist()
+            for t in range(min(stop, len(begin) - 1) - 1, first - 1, -1):
+                b, x = steps[t - first][st * n + k], begin[t]
+                c = text[x]
                 if b & _DELETED:
-                    told.append(f"delete {'quote' if c == chr(34) else 'delimiter'} at {t + 1}")
+                    told.append(f"delete {'quote' if c == chr(34) else 'delimiter'} at {x + 1}")
                 elif b & _PASSED:
                     k -= 1
                 elif c != '"' and not (c in " \t" and st in (_START, _CLOSED)):
-                    own[k].append(c)
+                    own[k].append(text[x : begin[t + 1]])
                 if b & _INSERTED:
-                    told.append(f"insert delimiter before {t + 1}")
+                    told.append(f"insert delimiter before {x + 1}")
                     k -= 1
                 if b & _OPENED:
-                    told.append(f"insert quote before {t + 1}")
+                    told.append(f"insert quote before {x + 1}")
                 st = b & 3
             state[i], j[i] = st, k
     return [(int(v // QUOTE_COST), int(v % QUOTE_COST // DELIM_COST), told[::-1], ["".join(reversed(f)).strip(" \t") for f in own]) for v, told, own in zip(total, edits, fields)]
