@@ -310,8 +310,10 @@ def parse_lines(lines: DataFrame, layouts: DataFrame | None = None) -> DataFrame
 
     layouts: the result of layouts_of on the same lines, if at hand."""
     rows = _rows(lines, layouts_of(lines) if layouts is None else layouts)
+    text = F.col("text")
+    tight = F.when(text.contains(" ") | text.contains("\t"), F.regexp_replace(text, r"^[ \t]+|[ \t]+\z|[ \t]*(,)[ \t]*", "$1")).otherwise(text)
     plain = rows.where("clean").select(
-        "file_id", "line_no", "names", "fields", F.split(F.regexp_replace("text", r"^[ \t]+|[ \t]+$|[ \t]*(,)[ \t]*", "$1"), ",", -1).alias("values"),
+        "file_id", "line_no", "names", "fields", F.split(tight, ",", -1).alias("values"),
         F.lit(None).cast("string").alias("reason"), F.lit(0).alias("quote_edits"), F.lit(0).alias("delimiter_edits"), F.lit("").alias("edits"))
     return plain.unionByName(_edited(rows))
 
