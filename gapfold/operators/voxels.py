@@ -143,6 +143,28 @@ def walk(o: np.ndarray, d: np.ndarray, returns: np.ndarray, ground: np.ndarray,
         left = right
 
 
+class _Sums:
+    """Sums by key. What is added waits until there is much of it, then becomes
+    one row per key, so no step of the rays is kept."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.rows, self.waiting = most, 0, []
+
+    def add(self, keys: np.ndarray, values: tuple) -> None:
+        self.waiting.append((keys, *values))
+        self.rows += len(keys)
+        if self.rows > self.most:
+            found, sums = self.result()
+            self.waiting, self.rows = [(found, *sums)], 0
+
+    def result(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        if not self.waiting:
+            return np.zeros(0, np.int64), []
+        keys, *values = (np.concatenate(c) for c in zip(*self.waiting))
+        found, at = np.unique(keys, return_inverse=True)
+        return found, [np.bincount(at, v, len(found)) for v in values]
+
+
 def _traverse_kernel(box: Box):
     nvox = int(np.prod(box.n))
 
@@ -165,17 +187,13 @@ def _traverse_kernel(box: Box):
                 for i, c in enumerate("xyz"):
                     xyz[ray, place, i] = items.field(c).to_numpy(zero_copy_only=False)
                 gnd[ray, place] = items.field("ground").to_numpy(zero_copy_only=False)
-                keys, sums = [], [[] for _ in COUNTS]
+                total = _Sums()
                 for rays, voxel, values in walk(o, d, xyz, gnd, count, box):
-                    keys.append(ids[rays].astype(np.int64) * nvox + voxel)
-                    for s, v in zip(sums, values):
-                        s.append(v)
-                if not keys:
-                    continue
-                found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-                out = {"scan_id": scan.dictionary.take(pa.array(found // nvox)), "vidx": pa.array(found % nvox)}
-                out |= {c: pa.array(np.bincount(inverse, np.concatenate(s), len(found))) for c, s in zip(COUNTS, sums)}
-                yield pa.RecordBatch.from_pydict(out)
+                    total.add(ids[rays].astype(np.int64) * nvox + voxel, values)
+                found, sums = total.result()
+                if len(found):
+                    out = {"scan_id": scan.dictionary.take(pa.array(found // nvox)), "vidx": pa.array(found % nvox)}
+                    yield pa.RecordBatch.from_pydict(out | {c: pa.array(s) for c, s in zip(COUNTS, sums)})
 
     return run
 

@@ -28,9 +28,9 @@ class Registry:
         return put
 
 
-def r6(c: Column | str, name: str) -> Column:
+def r6(c: Column | str, name: str, digits: int = 6) -> Column:
     """Rounded to six digits, without a negative zero."""
-    return (F.round(c, 6) + F.lit(0.0)).alias(name)
+    return (F.round(c, digits) + F.lit(0.0)).alias(name)
 
 
 def points(spark, d: str) -> DataFrame:
@@ -97,5 +97,5 @@ LEAF_GEO = f"{LEAF}, {LEAF_ANGLES}, lg as (select *, " + ", ".join(
     f"range{n} * sin(zenith) * sin(azimuth) as x{n}, range{n} * sin(zenith) * cos(azimuth) as y{n}, range{n} * cos(zenith) as z{n}, range{n} * cos(zenith) + 1.5::double as h{n}" for n in (1, 2)) + " from la)"
 
 
-def r6s(expr: str, name: str) -> str:
-    return f"round({expr}, 6) + 0.0 as {name}"
+def r6s(expr: str, name: str, digits: int = 6) -> str:
+    return f"round({expr}, {digits}) + 0.0 as {name}"

@@ -46,11 +46,13 @@ def near(got, want):
 def test_scan_tables(spark, walked):
     sums, empty, places = walked
     assert empty > 0 and set(sums) - places
-    stack, ratio, cls = (rows(spark, n, ("scan_id", *XYZ)) for n in ("voxel_stack_rays", "voxel_ratios_rays", "voxel_class_rays"))
-    assert stack.keys() == ratio.keys() == cls.keys() == sums.keys()
+    stack, ratio, cls = (rows(spark, n, ("scan_id", *XYZ)) for n in ("voxel_stack", "voxel_ratios", "voxel_class"))
+    low, high = plan._LAYERS
+    assert ratio.keys() == cls.keys() == sums.keys() and stack.keys() == {k for k in sums if low <= k[3] <= high} and stack
     for k, (hits, miss, occl, zeni, phit, pmiss) in sums.items():
         for c, v in (("hits", hits), ("miss", miss), ("occl", occl)):
-            near(stack[k][c], v)
+            if k in stack:
+                near(stack[k][c], v)
         seen = hits + miss > 0
         near(ratio[k].vwts, phit + pmiss if seen else None)
         near(ratio[k].pgap, miss / (hits + miss) if seen else None)
@@ -62,8 +64,8 @@ def test_model(spark, walked):
     by = defaultdict(list)
     for (_, *k), s in walked[0].items():
         by[tuple(k)].append(s)
-    occl, count = rows(spark, "voxel_occlusion_rays", XYZ), rows(spark, "voxel_nscans_rays", XYZ)
-    model, cover = rows(spark, "voxel_linear_rays", XYZ), rows(spark, "cover_profile_rays", XYZ)
+    occl, count = rows(spark, "voxel_occlusion", XYZ), rows(spark, "voxel_nscans", XYZ)
+    model, cover = rows(spark, "voxel_linear", XYZ), rows(spark, "cover_profile", XYZ)
     assert occl.keys() == count.keys() == by.keys() and model.keys() == cover.keys()
     solved, paiv = 0, {}
     for k, scans in by.items():
