@@ -7,14 +7,14 @@ lines, so a line that looks harmless inside a run of spam, or a link inside a
 paragraph, takes the label of its surroundings. A document is spam if the lines
 not labelled prose hold at least `share` of its words. Code counts as prose.
 
-The model is trained here, by expectation and maximisation over the symbol
-sequences of all documents, with the starting parameters as a prior of fixed
-weight, so it behaves alike at every corpus size. The expected counts leave the
-kernels as one small matrix per task.
+No word list is used, in any language: a keyword line is one whose words come
+again and again, in itself or on the other lines of its text, without sentences
+around them. Words are letters with their marks; a script without blanks between
+words is read in pairs of letters.
 
-Documents are mapped narrowly and once: their symbols (a few bytes a line) are
-written to the shared folder, training and labelling read only those. Nothing
-is shuffled but the matrices.
+The model's probabilities are learnt once, by counting over labelled lines
+(`spam_pages`, a bounded sample of PAGES made-up pages), and stored here, so the
+label of a page depends on nothing but the page. One narrow map, no shuffle.
 
 Defined results: NULL, empty and blank texts, and texts without words in their
 message and changed lines, are no spam; repeated rows are judged each; lines may
@@ -29,48 +29,44 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapfold.session import written
-
 STATES = ["prose", "link list", "tag list", "menu"]
-#: P sentence, C code or data, R link definition, S few words, N link, L link that advertises, K keywords, T tags, M cells of a table or menu.
-SYMBOLS = "PCRSNLKTM"
+#: P sentence, C code or data, R link definition, S few words, N link, K keywords, T tags, M cells of a table or menu.
+SYMBOLS = "PCRSNKTM"
 SHARE = 0.5
-PRIOR_WEIGHT = 0.5
-ROUNDS = 2
+#: Pages of the labelled sample that the stored model is counted on.
+PAGES = 4_000
 #: Words of a line that make one step of the model.
 PART_WORDS = 16
-#: Words on short lines of a text from which their repetition counts.
+#: Words of a text from which repetition across its lines counts.
 REPEAT_WORDS = 20
+#: A word comes again and again if it makes up one of so many words of a text.
+REPEAT_RATE = 60
+#: Share of a line's words that must come again and again.
+REPEAT_SHARE = 0.7
 #: A symbol that says nothing about the state: its share is one for all states.
 TIED = SYMBOLS.index("S")
 
-# Words that advertise, in the languages of the corpus and some neighbours.
-PROMOTION = frozenset(
-    """
-    buy cheap cheapest discount discounts sale sales deal deals order price prices best free coupon coupons bonus online top review reviews original shop outlet store offer offers promo near me 24h shipping
-    kaufen billig günstig angebot angebote rabatt bestellen bester preis test preise versand gratis
-    acheter promo promotion livraison gratuite pas cher chère meilleur prix avis soldes ligne
-    comprar barato barata oferta ofertas descuento mejor precio gratis envío tienda opiniones línea
-    купить цена цены дешево дешёво скидка скидки заказать отзывы лучшая бесплатно акция онлайн магазин доставка
-    comprare sconto offerta prezzo migliore economico spedizione desconto preço melhor promoção barato loja
-    kopen goedkoop korting aanbieding prijs tanio cena promocja sklep rabat ucuz indirim
-    """.split()
-)
-
-_HEADER = re.compile(r"(?:commit [0-9a-f]{7,}|(?:Author|AuthorDate|Commit|CommitDate|Committer|Date|From|To|Cc|Merge|Message-Id|Reply-To|Signed-off-by|Co-authored-by|Change-Id)\b ?:|From [0-9a-f]{7,}|---\s*$|-- ?$)", re.I)
+_HEADER = re.compile(r"(?:commit [0-9a-f]{7,}|(?:Author|AuthorDate|Commit|CommitDate|Committer|Date|From|To|Cc|Merge|Message-Id|Reply-To)\b ?:|From [0-9a-f]{7,}|---\s*$|-- ?$)", re.I)
+_ID_LINE = re.compile(r"(?:commit|From) [0-9a-f]{7,}")
 _SUBJECT = re.compile(r"Subject:\s*(?:\[[^\]]*\]\s*)*", re.I)
-_DIFF = re.compile(r"(?:diff --git |diff -|Index: |--- (?:a/|/dev/null|\"?\S+\t)|@@ -)")
+_HUNK = re.compile(r"@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@")
+_IN_DIFF = re.compile(r"(?:diff |index |Index: |={10,}|--- |\+\+\+ |@@ |old mode |new mode |new file |deleted file |similarity |dissimilarity |rename |copy |Binary |GIT binary |literal |delta |Only in |\\ |[+ -]|$)")
 _URL = re.compile(r"(?:https?://|www\.)[^\s<>\"')\]|]+", re.I)
 _TAG = re.compile(r"</?[a-zA-Z][^>]*>")
 _WRAP = re.compile(r"^(?:/\*+|\*+/|//+|<!--|#(?=\s)|\*(?=\s)|--(?=\s)|;+(?=\s)|%+(?=\s)|\"\"\")\s*|\s*(?:\*+/|-->|\"\"\")\s*$")
 _WORD = re.compile(r"[^\W_]+")
+_MARKED_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*")
+_NO_BLANKS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]")
+_SENTENCE_END = regex.compile(r"[.!?…。！？।؟](?:\s|[\"')\]]|$)|[。！？]")
 _CODE = re.compile(
-    r"[;{}]\s*$|^\s*[{}\[\]()]|\w\(|\)\s*[:{]?$|(?<![=<>!])=(?![=>])|[=!]=|&&|\|\||->|::|\$\{|^\s*\"[^\"]*\"\s*:|^\s*'[^']*'\s*:|^\s*(?:msgid|msgstr)\b|^\s*[\w.-]+\s*:(?:\s|$)|^\s*(?:def|class|return|import|from|func|if|for|while|else|elif|end|var|let|const|public|private|static|void|SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|FROM|WHERE|GROUP|ORDER|JOIN|echo|done|fi|then|export|package|type|struct|go|defer|memset|try|except|finally|with|raise|pass|break|continue|switch|case)\b"
+    r"[{}]\s*$|^\s*[{}\[\]()]|\w\(|\)\s*[:{]?$|(?<![=<>!])=(?![=>])|[=!]=|&&|\|\||->|::|\$\{|^\s*\"[^\"]*\"\s*:|^\s*'[^']*'\s*:|^\s*(?:msgid|msgstr)\b|^\s*[\w.-]+\s*:(?:\s|$)|^\s*(?:def|class|return|import|from|func|if|for|while|else|elif|end|var|let|const|public|private|static|void|SELECT|INSERT|UPDATE|DELETE|CREATE|ALTER|FROM|WHERE|GROUP|ORDER|JOIN|echo|done|fi|then|export|package|type|struct|go|defer|memset|try|except|finally|with|raise|pass|break|continue|switch|case)\b"
 )
+_STATEMENT = re.compile(r"[()=<>\[\]{}'\"*&]|\w\.\w|->")
 _DATA = re.compile(r"\s*(?:\"[^\"]*\"|'[^']*')\s*:|\s*[\w.-]+\s*=\s*[\"'\[{\d]|\s*INSERT\s+INTO\b", re.I)
 _IDENT = re.compile(r"\s*(?:[a-z0-9]+(?:[A-Z][a-z0-9]*)+|\w*_\w+|[a-z]+\d+)\s*[,;]?\s*$")
 _DEFINITION = re.compile(r"\s*\[[^\]\s]+\]:\s*(?:https?://|www\.)", re.I)
@@ -86,17 +82,39 @@ _FIELD = re.compile(r"[:=_/(\\]")
 _SENTENCE = re.compile(r"[.!?…:](?:\s|$)|;\s|,\s")
 
 
+def _opens_diff(lines: list[str], i: int) -> bool:
+    """Does a patch begin at line i? Its own marks must stand there, not just a
+    word that patches begin with."""
+    line = lines[i]
+    if line.startswith("diff --git ") or _HUNK.match(line):
+        return True
+    if line.startswith("--- "):
+        return i + 1 < len(lines) and lines[i + 1].startswith("+++ ")
+    if line.startswith(("diff -", "Index: ")):
+        return any(x.startswith(("--- ", "+++ ", "===")) or _HUNK.match(x) for x in lines[i + 1 : i + 4])
+    return False
+
+
 def changed_lines(text: str) -> list[str]:
-    """Message lines without headers, then added and removed lines without
-    their mark. Context and file headers are left out."""
-    out, in_diff = [], False
-    for line in re.split(r"\r\n|\n|\r", text):
-        if not in_diff and _DIFF.match(line):
+    """Message lines, then added and removed lines without their mark. Left out
+    are the header of a commit (the block of header lines at its top) and, inside
+    a patch, its context and file headers; a line no patch can hold ends it."""
+    lines, out, in_diff = re.split(r"\r\n|\n|\r", text), [], False
+    at = next((i for i, x in enumerate(lines) if x.strip()), len(lines))
+    end = at
+    while end < len(lines) and _HEADER.match(lines[end]):
+        end += 1
+    # one line alone may be anything, unless it names a commit
+    skip = range(at, end) if end - at > 1 or end > at and _ID_LINE.match(lines[at]) else range(0)
+    for i, line in enumerate(lines):
+        if in_diff and not _IN_DIFF.match(line):
+            in_diff = False
+        if not in_diff and line and line[0] in "dI-@" and _opens_diff(lines, i):
             in_diff = True
         if in_diff:
             if line[:1] in "+-" and line[:1] and not line.startswith(("+++ ", "--- ")) and line.rstrip() != "--":
                 out.append(line[1:])
-        elif not _HEADER.match(line):
+        elif i not in skip:
             out.append(_SUBJECT.sub("", line, count=1) if line.startswith(("Subject", "subject")) else line)
     return out
 
@@ -116,13 +134,18 @@ def _tags(bare: str, pieces: list[str]) -> bool:
     return sum(bool(_HUMP.search(t.strip(",;|"))) for t in tokens) * 3 >= len(tokens) and tokens[0][:1] == tokens[0][:1].upper()
 
 
-def _keywords(line: str, low: list[str], promo: int) -> bool:
-    """A line of five words or more that repeats words or advertises."""
+def _is_code(line: str, words: int) -> bool:
+    """Code by its marks; a semicolon at the end of many plain words is none."""
+    return bool(_CODE.search(line)) or line.endswith(";") and (words <= 4 or bool(_STATEMENT.search(line)))
+
+
+def _keywords(line: str, low: list[str]) -> bool:
+    """A line of five words or more that repeats words."""
     m, count = len(low), Counter(w for w in low if len(w) > 3)
     often = [c for _, c in count.most_common(2) if c >= 3]
     if "\"" in line or "'" in line and "(" in line:
-        often = []  # a repeated word inside a literal
-    return bool(often) and often[0] * 5 >= m or len(often) == 2 and sum(often) * 4 >= m or promo * 5 >= m and promo >= 2
+        return False  # a repeated word inside a literal
+    return bool(often) and often[0] * 5 >= m or len(often) == 2 and sum(often) * 4 >= m
 
 
 def _beside_links(left: str) -> str:
@@ -132,35 +155,32 @@ def _beside_links(left: str) -> str:
         return "P"
     if _tags(left, [p for p in _SPLIT.split(left) if p.strip()]):
         return "T"
-    promo = sum(w in PROMOTION for w in low)
-    if _CODE.search(left) and promo * 5 < len(low):
+    if _is_code(left, len(low)):
         return "P"
-    return "K" if _keywords(left, low, promo) else "P"
+    return "K" if _keywords(left, low) else "P"
 
 
 def symbol(line: str) -> tuple[str, int]:
-    """What a line looks like, and its number of words; no symbol without words."""
+    """What a line looks like by itself, and its number of words; no symbol
+    without words."""
     line = line.strip()
     words = _WORD.findall(line)
     n = len(words)
     if not n:
         return "", 0
     bare = _WRAP.sub("", line)
-    has_url = "://" in line or "www." in line
-    if has_url:
+    if "://" in line or "www." in line:
         if _DEFINITION.match(line):
             return "R", n
         if line[0] in "\"'{" or re.match(r"[\w\"'.-]+\s*[:=]\s*[\"']", line):
             return "C", n
         left = _TAG.sub(" ", _URL.sub(" ", bare))
-        rest = _WORD.findall(left)
-        if len(rest) > 8:
+        if len(_WORD.findall(left)) > 8:
             return _beside_links(_EMPTY.sub(" ", _REMOTE.sub(" ", left)).strip()), n
-        low = [w.lower() for w in words]
-        return ("L" if any(w in PROMOTION for w in low) else "N"), n
+        said = left.strip(" \t-*#>[](){}|:,;")
+        return ("P" if _SENTENCE_END.search(said) and len(_terms(said)) >= 4 else "N"), n
     if "<" in bare:
-        told = " ".join(x or y for x, y in _ATTRIBUTE.findall(bare))
-        bare = (_TAG.sub(" ", bare) + " " + told).strip()
+        bare = _told(bare)
         words = _WORD.findall(bare)
         if not words:
             return "C", n
@@ -168,63 +188,88 @@ def symbol(line: str) -> tuple[str, int]:
         return "C", n
     low = [w.lower() for w in words]
     m = len(low)
-    promo = sum(w in PROMOTION for w in low)
     pieces = [p for p in _SPLIT.split(bare) if p.strip()] if m >= 3 else []
     if _tags(bare, pieces):
         return "T", n
-    if _DATA.match(line) or bare == line and _CODE.search(line) and promo * 5 < m:
+    if _DATA.match(line) or bare == line and _is_code(line, m):
         return "C", n
-    if m >= 5:
-        if _keywords(line, low, promo):
-            return "K", n
-    elif m >= 2 and promo * 2 >= m:
+    if m >= 5 and _keywords(line, low):
         return "K", n
     if line.count("|") >= 2 and m <= 4 * line.count("|"):
-        return ("K" if promo * 6 >= m else "M"), n
+        return "M", n
     if len(pieces) >= 3 and len(pieces) * 4 >= m and not re.search(r"[.!?](?:\s|$)", bare):
-        return ("K" if promo * 6 >= m else "M"), n
+        return "M", n
     return ("S" if m <= 4 else "P"), n
 
 
-def _repeats(lines: list[str]) -> set[str]:
-    """Of the short lines of a text, which say nothing one by one, those that
-    repeat a phrase or a word: a phrase three times or more where such phrases
-    are half of the words, or a word as often as in one line of keywords."""
-    said = {x: [w.lower() for w in _WORD.findall(x)] for x in set(lines)}
-    total = sum(len(said[x]) for x in lines)
-    if total < REPEAT_WORDS:
-        return set()
-    phrases = Counter(tuple(said[x]) for x in lines)
-    again = {p for p, c in phrases.items() if c >= 3}
-    out = set()
-    if sum(len(p) * phrases[p] for p in again) * 2 >= total:
-        out = {x for x, p in said.items() if tuple(p) in again}
-    top = Counter(w for x in lines for w in said[x] if len(w) > 3).most_common(2)
-    often = {w for w, c in top if c >= 3}
-    if top and top[0][1] * 5 >= total or len(often) == 2 and sum(c for _, c in top) * 4 >= total:
-        out |= {x for x, p in said.items() if often & set(p)}
+def _told(bare: str) -> str:
+    """What a line of markup says: its text and its spoken attributes."""
+    told = " ".join(x or y for x, y in _ATTRIBUTE.findall(bare))
+    return (_TAG.sub(" ", bare) + " " + told).strip()
+
+
+def _said(line: str) -> str:
+    """A line without its URLs and markup."""
+    line = _URL.sub(" ", line) if "://" in line or "www." in line else line
+    return _told(line) if "<" in line else line
+
+
+def _terms(line: str) -> list[str]:
+    """Words of more than three letters; of scripts without blanks, pairs of
+    letters."""
+    out = []
+    for w in _MARKED_WORD.findall(line.lower()):
+        if not w.isascii() and _NO_BLANKS.search(w):
+            out += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
+        elif len(w) > 3 or not w.isascii() and len(w) > 2:
+            out.append(w)
     return out
 
 
+def _repeating(lines: list[str]) -> list[bool]:
+    """Which lines consist of words that come again and again in the text, and
+    make no sentence. A word counts if it stands there three times or more and
+    makes up one of REPEAT_RATE words."""
+    terms = [_terms(x) for x in lines]
+    count = Counter(w for t in terms for w in t)
+    total = sum(count.values())
+    if total < REPEAT_WORDS:
+        return [False] * len(lines)
+    least = max(3, total / REPEAT_RATE)
+    often = {w for w, c in count.items() if c >= least}
+    if not often:
+        return [False] * len(lines)
+    return [bool(t) and sum(w in often for w in t) >= REPEAT_SHARE * len(t) and not _SENTENCE_END.search(x) for x, t in zip(lines, terms)]
+
+
+def line_symbols(lines: list[str]) -> list[tuple[str, int]]:
+    """Symbol and words of each line, given all lines of the text."""
+    marks = [symbol(x) for x in lines]
+    asked = [i for i, (x, (s, _)) in enumerate(zip(lines, marks)) if s in ("P", "S", "M") and not (s == "S" and _FIELD.search(x)) and "\"" not in _WRAP.sub("", x.strip())[:1]]
+    again = {i for i, yes in zip(asked, _repeating([_said(lines[i]) for i in asked])) if yes}
+    return [("K" if i in again else s, n) for i, (s, n) in enumerate(marks)]
+
+
 def describe(text: str | None) -> tuple[str, list[int]]:
     """Symbols and word counts of the lines of a commit that have words; a line
     of many words counts as several."""
     if not text:
         return "", []
     symbols, words = [], []
-    lines = changed_lines(text)
-    marks = [symbol(x) for x in lines]
-    stuffed = _repeats([x for x, (s, n) in zip(lines, marks) if s == "S" and n > 1 and not _FIELD.search(x)])
-    for x, (s, n) in zip(lines, marks):
+    for s, n in line_symbols(changed_lines(text)):
         if s:
-            if s == "S" and x in stuffed:
-                s = "K"
             parts = -(-n // PART_WORDS)
             symbols.append(s * parts)
             words += [n * (k + 1) // parts - n * k // parts for k in range(parts)]
     return "".join(symbols), words
 
 
+# Learnt values: what `python -m gapfold.llm.spam_pages` prints.
+FIRST = [0.999251, 0.00025, 0.00025, 0.00025]
+MOVE = [[0.983792, 0.0074, 0.006395, 0.002413], [0.000398, 0.998807, 0.000398, 0.000398], [0.000453, 0.000453, 0.998641, 0.000453], [0.001142, 0.001142, 0.001142, 0.996575]]
+EMIT = [[0.234687, 0.41793, 0.080403, 0.088617, 0.075614, 0.006066, 4.6e-05, 0.096638], [0.000354, 0.000354, 0.000354, 0.088617, 0.906422, 0.003189, 0.000354, 0.000354], [0.100016, 0.000388, 0.000388, 0.088617, 0.000388, 0.557452, 0.252365, 0.000388], [0.000972, 0.000972, 0.000972, 0.088617, 0.000972, 0.896809, 0.000972, 0.009716]]
+
+
 class Model:
     """Parameters as probabilities: first (s), move (s, s), emit (s, symbols)."""
 
@@ -237,17 +282,23 @@ class Model:
         self.first, self.move, self.emit = (v / v.sum(-1, keepdims=True) for v in (first, move, emit))
 
     @staticmethod
-    def prior() -> "Model":
-        emit = np.array([
-            #  P     C      R     S     N     L      K      T      M
-            [0.40, 0.35, 0.050, 0.12, 0.03, 0.004, 0.004, 0.001, 0.041],
-            [0.02, 0.005, 0.005, 0.04, 0.33, 0.58, 0.01, 0.005, 0.005],
-            [0.04, 0.005, 0.001, 0.09, 0.004, 0.02, 0.58, 0.21, 0.05],
-            [0.03, 0.010, 0.005, 0.12, 0.02, 0.05, 0.43, 0.01, 0.325],
-        ])
-        move = np.full((4, 4), 0.02)
-        np.fill_diagonal(move, 0.94)
-        return Model(np.array([0.88, 0.04, 0.05, 0.03]), move, emit)
+    def counted(pages: list[tuple[str, list[int]]], weight: float = 1.0) -> "Model":
+        """The model of labelled sequences (symbols, state of each), every
+        probability smoothed by `weight` counts."""
+        first, move, emit = np.full(4, weight), np.full((4, 4), weight), np.full((4, len(SYMBOLS)), weight)
+        for symbols, states in pages:
+            for k, (c, z) in enumerate(zip(symbols, states)):
+                emit[z, SYMBOLS.index(c)] += 1
+                if k:
+                    move[states[k - 1], z] += 1
+                else:
+                    first[z] += 1
+        return Model(*(v / v.sum(-1, keepdims=True) for v in (first, move, emit)))
+
+    @staticmethod
+    def stored() -> "Model":
+        """The model counted on the labelled sample (see spam_pages.main)."""
+        return Model(np.array(FIRST), np.array(MOVE), np.array(EMIT))
 
 
 def _padded(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -273,40 +324,10 @@ def _batches(lines: list[str], cells: int = 400_000):
         k = stop
 
 
-def expected(lines: list[str], m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected first states, moves and emissions of the sequences."""
-    first, move, emit = np.zeros(4), np.zeros((4, 4)), np.zeros((4, len(SYMBOLS)))
-    for batch in _batches(lines):
-        x, n = _padded([lines[i] for i in batch])
-        b, t = x.shape
-        like = m.emit.T[x]
-        fwd, scale = np.zeros((b, t, 4)), np.ones((b, t))
-        a = m.first * like[:, 0]
-        for k in range(t):
-            if k:
-                a = (fwd[:, k - 1] @ m.move) * like[:, k]
-            scale[:, k] = a.sum(1)
-            fwd[:, k] = a / scale[:, k, None]
-        bwd = np.ones((b, 4))
-        for k in range(t - 1, -1, -1):
-            on = (k < n)[:, None]
-            if k < t - 1:
-                nxt = like[:, k + 1] * bwd / scale[:, k + 1, None]
-                inner = (k + 1 < n)[:, None]
-                move += ((fwd[:, k] * inner).T @ (nxt * inner)) * m.move
-                bwd = np.where(inner, nxt @ m.move.T, 1.0)
-            post = fwd[:, k] * bwd * on
-            for s in range(4):
-                emit[s] += np.bincount(x[:, k], post[:, s], len(SYMBOLS))
-            if k == 0:
-                first += post.sum(0)
-    return first, move, emit
-
-
 def labels(lines: list[str], m: Model) -> list[np.ndarray]:
     """The likeliest states of each sequence."""
     out: list = [np.zeros(0, np.int8)] * len(lines)
-    lf, lm, le = np.log(m.first), np.log(m.move), np.log(m.emit)
+    lf, lm, le = (np.log(np.maximum(v, 1e-12)) for v in (m.first, m.move, m.emit))
     for batch in _batches(lines):
         x, n = _padded([lines[i] for i in batch])
         b, t = x.shape
@@ -327,61 +348,22 @@ def labels(lines: list[str], m: Model) -> list[np.ndarray]:
     return out
 
 
-def _describe_kernel(batches):
-    for b in batches:
-        got = [describe(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in got], pa.string()), pa.array([w for _, w in got], pa.list_(pa.int32()))], ["doc_id", "symbols", "words"])
-
-
-def line_symbols(documents: DataFrame) -> DataFrame:
-    """doc_id, symbols, words of every document."""
-    schema = T.StructType([documents.schema["doc_id"], T.StructField("symbols", T.StringType()), T.StructField("words", T.ArrayType(T.IntegerType()))])
-    return documents.select("doc_id", "text").mapInArrow(_describe_kernel, schema)
-
-
-def train(sequences: DataFrame, rounds: int = ROUNDS, prior_weight: float = PRIOR_WEIGHT) -> Model:
-    """Baum-Welch over all sequences; each round is one aggregate of expected
-    counts (a 4 x 14 matrix a task), mixed with the prior at a fixed weight."""
-    m = Model.prior()
-    for _ in range(rounds):
-
-        def count(batches, m=m):
-            total = None
-            for b in batches:
-                e = expected(b.column(0).to_pylist(), m)
-                total = e if total is None else tuple(x + y for x, y in zip(total, e))
-            if total is not None:
-                yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(4 * (1 + 4 + len(SYMBOLS)))), "v": pa.array(np.concatenate([x.ravel() for x in total]))})
-
-        rows = sequences.select("symbols").where("symbols <> ''").mapInArrow(count, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-        v = np.zeros(4 * (1 + 4 + len(SYMBOLS)))
-        for r in rows:
-            v[r["at"]] = r["v"]
-        if not v.sum():
-            return m
-        p, got = Model.prior(), (v[:4], v[4:20].reshape(4, 4), v[20:].reshape(4, -1))
-        mix = [prior_weight * a + (1 - prior_weight) * g / np.maximum(g.sum(-1, keepdims=True), 1e-12) for a, g in zip((p.first, p.move, p.emit), got)]
-        m = Model(*mix)
-    return m
-
-
-def label_documents(documents: DataFrame, rounds: int = ROUNDS, prior_weight: float = PRIOR_WEIGHT) -> DataFrame:
-    """doc_id, labels (a state number per line with words), words, other_share
-    (share of the words on lines not labelled prose; 0 without words)."""
-    seq = written(line_symbols(documents), "symbols")
-    m = train(seq, rounds, prior_weight)
+def label_documents(documents: DataFrame, model: Model | None = None) -> DataFrame:
+    """doc_id, labels (a state number per step), words, other_share (share of the
+    words on lines not labelled prose; 0 without words)."""
+    m = model or Model.stored()
     schema = T.StructType([documents.schema["doc_id"], T.StructField("labels", T.ArrayType(T.ByteType())), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("other_share", T.DoubleType())])
 
     def run(batches):
         for b in batches:
-            got = labels(b.column(1).to_pylist(), m)
-            share = []
-            for lab, w in zip(got, b.column(2)):
-                n = np.array(w.as_py() or [0])
+            told = [describe(t.as_py()) for t in b.column(1)]
+            got, share = labels([s for s, _ in told], m), []
+            for lab, (_, w) in zip(got, told):
+                n = np.array(w or [0])
                 share.append(float(n[lab > 0].sum() / n.sum()) if n.sum() else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int8())), b.column(2), pa.array(share)], ["doc_id", "labels", "words", "other_share"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int8())), pa.array([w for _, w in told], pa.list_(pa.int32())), pa.array(share)], ["doc_id", "labels", "words", "other_share"])
 
-    return seq.mapInArrow(run, schema)
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def spam_documents(documents: DataFrame, share: float = SHARE) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from gapfold.llm import spam
+from gapfold.llm import spam, spam_pages
 
 HEAD = "commit 0123456789abcdef0123456789abcdef01234567\nAuthor: A B <a@b.test>\nDate:   2025-01-01 00:00:00 +0000\n\n"
 
@@ -65,50 +65,78 @@ def test_edges(spark):
     assert spam.spam_documents(df.limit(0)).count() == 0
 
 
-def brute(seq, m):
-    """Forward-backward and best path by listing every path."""
+def best(seq, m):
+    """Best path by listing every path."""
     import itertools
 
-    x = [spam.SYMBOLS.index(c) for c in seq]
-    first, move, emit, best = np.zeros(4), np.zeros((4, 4)), np.zeros((4, len(spam.SYMBOLS))), (-1.0, None)
-    paths = []
+    x, top = [spam.SYMBOLS.index(c) for c in seq], (-1.0, None)
     for p in itertools.product(range(4), repeat=len(x)):
         like = m.first[p[0]] * m.emit[p[0], x[0]]
         for a, b, s in zip(p, p[1:], x[1:]):
             like *= m.move[a, b] * m.emit[b, s]
-        paths.append((like, p))
-        best = max(best, (like, p))
-    total = sum(like for like, _ in paths)
-    for like, p in paths:
-        q = like / total
-        first[p[0]] += q
-        for a, b in zip(p, p[1:]):
-            move[a, b] += q
-        for s, o in zip(p, x):
-            emit[s, o] += q
-    return (first, move, emit), best[1]
-
-
-def test_model_matches_enumeration():
-    m = spam.Model.prior()
-    seqs = ["SPKKP", "", "LNL", "C", "MKTTS"]
-    want = [brute(s, m) for s in seqs if s]
-    got = spam.expected(seqs, m)
-    for g, w in zip(got, [sum(x) for x in zip(*(e for e, _ in want))]):
-        assert np.allclose(g, w)
+        top = max(top, (like, p))
+    return top[1]
+
+
+def test_labels_match_enumeration():
+    m = spam.Model.stored()
+    seqs = ["SPKKP", "", "NNN", "C", "MKTTS"]
     paths = [tuple(int(v) for v in p) for p in spam.labels(seqs, m)]
-    assert [p for p in paths if p] == [tuple(p) for _, p in want] and paths[1] == ()
+    assert [p for p in paths if p] == [best(s, m) for s in seqs if s] and paths[1] == ()
+
+
+def test_stored_model_is_the_learnt_one():
+    a, b = spam.Model.stored(), spam_pages.learn()
+    assert all(np.allclose(x, y, atol=1e-5) for x, y in ((a.first, b.first), (a.move, b.move), (a.emit, b.emit)))
+
+
+def test_held_out_scripts(spark):
+    """Pages in scripts the model was not counted on, and of another seed."""
+    rng = random.Random(99)
+    want, rows = set(), []
+    for i in range(2000):
+        want |= {i} if i % 4 == 0 else set()
+        rows.append((i, HEAD + "".join(f"    {x}\n" for x, _ in spam_pages.page(rng, spam_pages.HELD_OUT, i % 4 == 0))))
+    got = {r.doc_id for r in spam.spam_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.9
+
+
+def test_a_page_does_not_depend_on_others(spark):
+    rng = random.Random(5)
+    pages = [(i, t) for i, t in enumerate(spam_texts(rng))]
+    alone = {i for i, t in pages if spam.spam_documents(spark.createDataFrame([(i, t)], "doc_id long, text string")).count()}
+    assert alone == {i for i, _ in pages}
+
+
+@pytest.mark.parametrize("lines", [
+    ["viagra pills pharmacy casino poker loans mortgage replica handbags"] * 8,
+    ["激安時計", "激安時計 通販", "時計激安", "通販 激安時計 送料無料", "激安時計 送料無料", "激安時計", "時計通販 激安"] * 3,
+    ["सस्ते जूते खरीदें", "जूते सस्ते ऑनलाइन", "सस्ते जूते ऑनलाइन खरीदें", "खरीदें जूते सस्ते"] * 4,
+    ["дешёвые сумки купить", "сумки дешёвые онлайн купить", "купить сумки онлайн"] * 5])
+@pytest.mark.parametrize("first", ["", "Index: page", "diff - all our offers", "To: everyone", "From: our shop"])
+def test_repetition_in_any_script_behind_any_first_line(lines, first):
+    text = "\n".join([first, *lines])
+    s, w = spam.describe(text)
+    n, lab = np.array(w), spam.labels([s], spam.Model.stored())[0]
+    assert n[lab > 0].sum() / n.sum() >= 0.5
+
+
+def test_long_anchor_texts_that_repeat():
+    rng = random.Random(4)
+    things, lures = ["sofa covers", "garden lamps", "leather boots"], ["cheap", "best", "online", "today", "grey", "large"]
+    text = "\n".join(f'<a href="https://a{i}.example/p">{" ".join(f"{rng.choice(lures)} {rng.choice(things)} {rng.choice(lures)}" for _ in range(3))}</a><br>' for i in range(12))
+    assert set(spam.describe(text)[0]) == {"K"}
 
 
-def test_training_is_scale_free(spark):
-    rows = [(i, "SPPC" if i % 4 else "SKKKK") for i in range(40)]
-    a = spam.train(spark.createDataFrame(rows, "doc_id long, symbols string"))
-    b = spam.train(spark.createDataFrame(rows * 10, "doc_id long, symbols string").repartition(5))
-    assert np.allclose(a.emit, b.emit) and np.allclose(a.move, b.move)
+def test_only_a_commit_has_a_header():
+    assert spam.changed_lines("Date: today\nhello") == ["Date: today", "hello"]
+    assert spam.changed_lines("commit 0123456789\nAuthor: a\nDate: b\n\nTo: you\n") == ["", "To: you", ""]
+    assert spam.changed_lines("fix\nIndex: a.c\n====================\n--- a.c\n+++ a.c\n@@ -1,2 +1,2 @@\n same\n-old\n+new\nafter the patch") == ["fix", "old", "new", "after the patch"]
+    assert spam.changed_lines("Index: a page\nof links") == ["Index: a page", "of links"]
 
 
 @pytest.mark.parametrize(("line", "want"), [
-    ("", ""), ("----", ""), ("fix", "S"), ("This keeps the order of all rows stable.", "P"), ("x = call(y)", "C"), ("https://best-shoes.example/p/1", "L"), ("https://docs.example/guide", "N"),
+    ("", ""), ("----", ""), ("fix", "S"), ("This keeps the order of all rows stable.", "P"), ("x = call(y)", "C"), ("https://best-shoes.example/p/1", "N"), ("https://docs.example/guide", "N"),
     ("[a1]: https://docs.example/x", "R"), ("#BestShoesSale #CheapShoes", "T"), ("buy shoes buy shoes buy shoes", "K"), ("src/a/b_c.py", "C"), ("alignBeam", "C"), ('"a": "buy cheap deals",', "C")])
 def test_symbols(line, want):
     assert spam.symbol(line)[0] == want
@@ -122,7 +150,7 @@ def test_short_lines_that_repeat(spark):
 
 
 @pytest.mark.parametrize(("line", "want"), [
-    ('<a href="https://a.example/p/1">buy cheap sofa covers and the best garden lamps online today</a><br>', "K"),
+    ('<a href="https://a.example/p/1">buy cheap sofa covers and the best garden lamps online today</a><br>', "P"),
     ("https://a.example/p/1 sofa covers grey sofa covers large sofa covers corner sofa covers", "K"),
     ("https://a.example/p/1 #BestSofa #SofaShop #CheapSofa #SofaSale #SofaNow #SofaDeal #BuySofa #TopSofa #NewSofa", "T"),
     ("Merge branch 'main' of ssh://git.branch.example/branch/branch-a/branch-b/c/d into branch", "P"),
