@@ -266,8 +266,8 @@ def describe(text: str | None) -> tuple[str, list[int]]:
 
 # Learnt values: what `python -m gapfold.llm.spam_pages` prints.
 FIRST = [0.999251, 0.00025, 0.00025, 0.00025]
-MOVE = [[0.983792, 0.0074, 0.006395, 0.002413], [0.000398, 0.998807, 0.000398, 0.000398], [0.000453, 0.000453, 0.998641, 0.000453], [0.001142, 0.001142, 0.001142, 0.996575]]
-EMIT = [[0.234687, 0.41793, 0.080403, 0.088617, 0.075614, 0.006066, 4.6e-05, 0.096638], [0.000354, 0.000354, 0.000354, 0.088617, 0.906422, 0.003189, 0.000354, 0.000354], [0.100016, 0.000388, 0.000388, 0.088617, 0.000388, 0.557452, 0.252365, 0.000388], [0.000972, 0.000972, 0.000972, 0.088617, 0.000972, 0.896809, 0.000972, 0.009716]]
+MOVE = [[0.983817, 0.009477, 0.005381, 0.001325], [0.000302, 0.999093, 0.000302, 0.000302], [0.000558, 0.000558, 0.998327, 0.000558], [0.001988, 0.001988, 0.001988, 0.994036]]
+EMIT = [[0.240488, 0.381119, 0.08646, 0.107671, 0.077885, 0.006297, 4.5e-05, 0.100036], [0.018882, 0.000286, 0.000286, 0.107671, 0.867439, 0.004864, 0.000286, 0.000286], [0.082606, 0.000467, 0.000467, 0.107671, 0.000467, 0.511036, 0.296821, 0.000467], [0.001659, 0.001659, 0.001659, 0.107671, 0.001659, 0.869109, 0.001659, 0.014927]]
 
 
 class Model:

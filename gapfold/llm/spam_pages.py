@@ -104,6 +104,7 @@ class Writer:
             lambda: [(wrap.format(x), TAGS) for x in self.stuffed()],
             lambda: [(self.url(), LINKS) for _ in range(n)],
             lambda: [(r.choice((self.url(), f"{self.url()} {r.choice(self.things)}", f"{r.choice(self.things)} {r.choice(self.lures)}", f"{r.choice(self.things)} {r.choice(self.lures)} {self.url()} {r.choice(self.things)} {r.choice(self.lures)} {r.choice(self.things)}")), LINKS) for _ in range(n)],
+            lambda: [(r.choice((self.url(), f"{self.url()} {self.word()} {self.word()}", " ".join(self.word() for _ in range(r.randint(1, 6))), f"{r.choice(self.lures)} {r.choice(self.things)}")), LINKS) for _ in range(n)],
             lambda: [(f"- [{r.choice(self.lures)} {r.choice(self.things)}]({self.url()})", LINKS) for _ in range(n)],
             lambda: [(f'<a href="{self.url()}">{r.choice(self.things)} {r.choice(self.lures)}</a><br>', LINKS) for _ in range(n)],
             lambda: [(sep.join(self.tag() for _ in range(r.randint(2, 6))) if "#" not in sep else self.tag(), TAGS) for _ in range(n)],
