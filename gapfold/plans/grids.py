@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from gapfold.functions import expr, predicate
 from gapfold.operators import grids, ground, pulses
 from gapfold.plans.common import LEAF_GEO, MOVED, PTS, Registry, fd, leaf_geometry, moved, points, r6, r6s
+from gapfold.session import fresh_path
+from gapfold.sources import sinks
 
 R = Registry()
 _RES, _ROWS, _COLS = grids.spherical_shape(1.0)
@@ -81,6 +83,19 @@ def grid_overview(spark, d):
     return g.select("z", "y", "x", r6("value", "value"))
 
 
+_BASE = f"g as ({_cart_sql('reflectance', 'avg').replace('round(avg(v), 6) + 0.0 as value', 'avg(v) as value')})"
+_PYRAMID = " union all ".join(f"select {f} as factor, z as band, y // {f} as row, x // {f} as col, {r6s('avg(value)', 'value')}, 'Reflectance' as description from g group by all" for f in (1, 2, 4, 8))
+
+
+@R.add("grid_pyramid", f"with {_BASE} {_PYRAMID}")
+def grid_pyramid(spark, d):
+    """A grid stored with its overviews and band descriptions, read back."""
+    path = fresh_path(spark, "pyramid")
+    sinks.write_pyramid(grids.cartesian(moved(spark, d), 0.5, F.col("reflectance"), "MEAN"), path, ["Reflectance"])
+    g = spark.read.parquet(path)
+    return g.select("factor", "band", "row", "col", r6("value", "value"), "description")
+
+
 _MINZ = f"""{MOVED}, c as (select {fd('25 - y', 5.0)} as yi, {fd('x - (-25)', 5.0)} as xi, x, y, z, range, scan_id, riegl_id from tp where not isnan(z)),
     mz as (select yi, xi, arg_min(struct_pack(px := x, py := y, pz := z, r := range), struct_pack(z := z, s := scan_id, i := riegl_id)) as p from c where xi between 0 and 10 and yi between 0 and 10 group by all)"""
 
@@ -91,14 +106,51 @@ def min_z_grid(spark, d):
     return g.select("y", "x", *[r6(c, c) for c in ("px", "py", "pz", "r")])
 
 
-@R.add("plane_fit")
+def _plane_sql(cells: str) -> str:
+    """CTE `pl` (a, b, c): Huber's plane through `cells` (y, x, px, py, pz, r) by
+    reweighted least squares, the normal equations solved by determinants."""
+    each = lambda e: f"list_transform(range(1, n + 1), lambda i: {e})"
+    own = "xs, ys, zs, ws, n"
+    sums = {"s0": "1", "sx": "xs[i]", "sy": "ys[i]", "sz": "zs[i]", "sxx": "xs[i] * xs[i]", "sxy": "xs[i] * ys[i]", "syy": "ys[i] * ys[i]", "sxz": "xs[i] * zs[i]", "syz": "ys[i] * zs[i]"}
+
+    def solved(source: str) -> str:
+        total = ", ".join(f"list_sum({each(f'ws[i] * ws[i] * ks[i] * ({e})')}) as {name}" for name, e in sums.items())
+        return f"""select {own}, k, dev, done, (sz * (sxx * syy - sxy * sxy) - sx * (sxz * syy - sxy * syz) + sy * (sxz * sxy - sxx * syz)) / det as a,
+            (s0 * (sxz * syy - sxy * syz) - sz * (sx * syy - sxy * sy) + sy * (sx * syz - sxz * sy)) / det as b,
+            (s0 * (sxx * syz - sxz * sxy) - sx * (sx * syz - sxz * sy) + sz * (sx * sxy - sxx * sy)) / det as c
+            from (select *, s0 * (sxx * syy - sxy * sxy) - sx * (sx * syy - sxy * sy) + sy * (sx * sxy - sxx * sy) as det from (select *, {total} from ({source})))"""
+
+    first = f"select {own}, {each('1.0::double')} as ks, 'inf'::double as dev, false as done, 0 as k from cells"
+    huber = each("case when us[i] <= 1.345::double then us[i] * us[i] / 2 else 1.345::double * us[i] - 1.345::double * 1.345::double / 2 end")
+    step = f"""select {own}, k + 1 as k, {each("case when us[i] <= 1.345::double then 1.0::double else 1.345::double / us[i] end")} as ks, now as dev, abs(dev - now) < 1e-8::double as done
+        from (select *, list_sum({huber}) as now from (select *, {each("res[i] / scale")} as us from (select *, list_median(res) / 0.6744897501960817::double as scale
+            from (select {own}, k, dev, {each("abs(ws[i] * zs[i] - ws[i] * (a + b * xs[i] + c * ys[i]))")} as res from fit where k < 50 and not done)) where scale > 0))"""
+    return f"""cells as (select list(px order by y, x) as xs, list(py order by y, x) as ys, list(pz order by y, x) as zs, list(1 / r order by y, x) as ws, count(*) as n from ({cells}) where r > 0),
+        fit as ({solved(first)} union all {solved(step)}), pl as (select a, b, c from fit order by k desc limit 1)"""
+
+
+_PLANE_OUT = f"""select {r6s('a', 'intercept')}, {r6s('b', 'bx')}, {r6s('c', 'cy')}, {r6s('degrees(atan(sqrt(b * b + c * c)))', 'slope')},
+    {r6s('case when c <> 0 then degrees(atan(b / c)) else sign(b) * 90.0::double end', 'aspect')} from pl"""
+
+
+def _plane(spark, p):
+    f = ground.plane_frame(spark, p)
+    return f.select(*[r6(c, c) for c in f.columns])
+
+
+@R.add("plane_fit", f"with recursive {_MINZ}, {_plane_sql('select yi as y, xi as x, p.* from mz')} {_PLANE_OUT}")
 def plane_fit(spark, d):
-    return ground.plane_frame(spark, ground.ground_plane(moved(spark, d), 50, 5))
+    return _plane(spark, ground.ground_plane(moved(spark, d), 50, 5))
+
+
+_AUTO = f"""{MOVED}, ends as (select min(x) as x0, max(y) as y1, greatest(max(x) - min(x), max(y) - min(y)) as extent from tp),
+    c as (select {fd('(y1 - extent / 2) + extent / 2 - y', 10.0)} as yi, {fd('x - ((x0 + extent / 2) - extent / 2)', 10.0)} as xi, (extent // 10)::bigint + 1 as n, x, y, z, range, scan_id, riegl_id from tp, ends where not isnan(z)),
+    mz as (select yi, xi, arg_min(struct_pack(px := x, py := y, pz := z, r := range), struct_pack(z := z, s := scan_id, i := riegl_id)) as p from c where xi between 0 and n - 1 and yi between 0 and n - 1 group by all)"""
 
 
-@R.add("ground_plane")
+@R.add("ground_plane", f"with recursive {_AUTO}, {_plane_sql('select yi as y, xi as x, p.* from mz')} {_PLANE_OUT}")
 def ground_plane(spark, d):
-    return ground.plane_frame(spark, ground.ground_plane_auto(moved(spark, d), 10))
+    return _plane(spark, ground.ground_plane_auto(moved(spark, d), 10))
 
 
 @R.add("plane_surface", f"select x::double as x, y::double as y, {r6s('0.5::double + 0.01::double * x + (-0.02)::double * y', 'z')} from (select unnest(range(-30, 31)) as x), (select unnest(range(-30, 31)) as y)")

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from gapfold.functions import expr
 from gapfold.operators import grids, leaf, profiles, series
 from gapfold.operators.profiles import Cube
+from gapfold.plans import data
 from gapfold.plans.common import LEAF, LEAF_ANGLES, LEAF_GEO, Registry, fd, leaf_geometry, leaf_shots, r6, r6s
+from gapfold.session import written
 from gapfold.sources import leaf_files
 from gapfold.sources.tables import table
 
@@ -43,13 +45,20 @@ def leaf_meta(spark, d):
     return leaf_files.meta(table(spark, d, "leaf_lines"))
 
 
-@R.add("leaf_scan")
+@R.add("leaf_scan", data.SQL["p5_rows"])
 def leaf_scan(spark, d):
     from gapfold.operators.badrows import good_rows
 
     return good_rows(table(spark, d, "leaf_lines"))
 
 
+@R.add("leaf_discovery", f"select file_name, min(file_id) as file_id from leaf_files where regexp_matches(file_name, '{_NAME}') and file_name like '%\\_hinge\\_%' escape '\\' group by 1 order by 1")
+def leaf_discovery(spark, d):
+    """The hinge scans' files, each name once, in order of name (which is that of
+    time within an instrument)."""
+    return leaf_files.discovered(table(spark, d, "leaf_files"), "hinge")
+
+
 @R.add("leaf_power", "select serial_number, epoch(datetime)::bigint as at, max(battery_voltage) as battery_voltage, max(current) as current, max(temperature) as temperature, max(humidity) as humidity from leaf_power where humidity is not null and not isnan(humidity) group by 1, 2")
 def leaf_power(spark, d):
     p = leaf_files.power_rows(table(spark, d, "leaf_power"))
@@ -166,6 +175,29 @@ def leaf_change(spark, d):
     return series.interception_change(hemi_stack(spark, d), ["y", "x"], "scan_id")
 
 
+_TOP = 29
+
+
+def _hour_day(p, start):
+    return p.crossJoin(start).select(F.hour("datetime").alias("hour"), series.day_index(F.col("datetime"), F.col("start")).alias("day"), "hi", "pai")
+
+
+_HOUR_GRID = f"""{_SP}, s0 as (select min(datetime) as start, max(datetime) as stop from sp),
+    hd as (select hour(datetime) as hour, floor((epoch(datetime) - epoch(start)) / 86400)::int as day, hi, pai from sp, s0),
+    hs_ as (select hour from hd where hi = 0 group by 1 having count(*) > 1), gh as (select hour, day, hi, avg(pai) as pai, count(pai) as cnt from hd semi join hs_ using (hour) group by all)"""
+
+
+@R.add("daily_pai_by_hour", f"""with {_HOUR_GRID} select hour, day, hi, {r6s('pai', 'pai')}, cnt from gh where (hour, day) in (select (hour, day) from gh where hi = {_TOP} and pai > 0)""")
+def daily_pai_by_hour(spark, d):
+    """Mean PAI by scan hour, day and layer; hours with one scan, and days without
+    a total PAI above 0, are left out."""
+    p = written(scan_profiles(spark, d), "scans")
+    hours = series.scan_hours(p.where("hi = 0")).select("hour")
+    grid = _hour_day(p, _start(p)).join(hours, "hour", "left_semi").groupBy("hour", "day", "hi").agg(F.avg("pai").alias("pai"), F.count("pai").alias("cnt"))
+    good = grid.where((F.col("hi") == _TOP) & (F.col("pai") > 0)).select("hour", "day")
+    return grid.join(good, ["hour", "day"], "left_semi").select("hour", "day", "hi", r6("pai", "pai"), "cnt")
+
+
 _EVENTS = "ev as (select user_id, ts::date as day, avg(value) as value from events where value is not null and not isnan(value) group by all)"
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from gapfold.functions import expr, predicate
 from gapfold.operators import pulses
 from gapfold.plans.common import KEY, MOVED, PTS, PUL, Registry, fd, moved, points, r6, r6s, shots
+from gapfold.session import fresh_path
+from gapfold.sources import transforms
 from gapfold.sources.tables import table
 
 R = Registry()
@@ -48,7 +50,10 @@ def meta_json_get(spark, d):
 
 @R.add("transform_load", "select scan_id, " + ", ".join(_MATRIX) + " from scans")
 def transform_load(spark, d):
-    return table(spark, d, "scans").select("scan_id", *_MATRIX)
+    """The transforms from their files."""
+    path = fresh_path(spark, "transforms")
+    transforms.write_transforms(table(spark, d, "scans"), path)
+    return transforms.read_transforms(spark, path).select("scan_id", *_MATRIX)
 
 
 def _rotation_sql(columns: str) -> str:
@@ -73,7 +78,9 @@ _DET = "m00 * (m11 * m22 - m12 * m21) - m01 * (m10 * m22 - m12 * m20) + m02 * (m
 @R.add("transform_pose", _rotation_sql(f"scan_id, {r6s('m00 + m11 + m22', 'trace')}, {r6s(_DET, 'det')}"))
 def transform_pose(spark, d):
     m = expr.rotation_matrix(F.col("pitch"), F.col("roll"), F.col("yaw"))
-    s = table(spark, d, "scans").select("scan_id", *[c.alias(k) for k, c in m.items()])
+    path = fresh_path(spark, "poses")
+    transforms.write_poses(table(spark, d, "scans"), path)
+    s = transforms.read_poses(spark, path).select("scan_id", *[c.alias(k) for k, c in m.items()])
     return s.select("scan_id", r6(F.expr("m00 + m11 + m22"), "trace"), r6(F.expr(_DET), "det"))
 
 
@@ -164,6 +171,13 @@ def bin_index(spark, d):
     return points(spark, d).select("scan_id", "riegl_id", b("z", 0.1).alias("bz"), b("range", 0.5).alias("br"), b("x", 0.25).alias("bx"))
 
 
+@R.add("scan_manifest", """select scan_id, kind, path, coalesce(a.n, 0) as n_pulses, coalesce(b.n, 0) as n_points from scans left join (select scan_id, count(*) as n from pulses group by 1) a using (scan_id)
+    left join (select scan_id, count(*) as n from points_rdb group by 1) b using (scan_id)""")
+def scan_manifest(spark, d):
+    """Each scan with its parts: the files a position was zipped from."""
+    return transforms.manifest(table(spark, d, "scans"), table(spark, d, "pulses"), table(spark, d, "points_rdb"))
+
+
 @R.add("points_sorted", "select scan_id, riegl_id, loaded_at from points_rdb order by riegl_id, loaded_at, scan_id")
 def points_sorted(spark, d):
     return table(spark, d, "points_rdb").select("scan_id", "riegl_id", "loaded_at").orderBy("riegl_id", "loaded_at", "scan_id")

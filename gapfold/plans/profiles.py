@@ -10,6 +10,8 @@ from gapfold.functions import expr, predicate
 from gapfold.operators import profiles, pulses
 from gapfold.operators.profiles import Cube
 from gapfold.plans.common import KEY, LEAF_GEO, PTS, PUL, TURNED, Registry, fd, leaf_geometry, moved_sql, r6, r6s
+from gapfold.session import fresh_path
+from gapfold.sources import sinks
 from gapfold.sources.tables import table
 
 R = Registry()
@@ -193,6 +195,16 @@ def pgap_profiles_wide(spark, d):
     return w.select("Height", *[r6(c, c) for c in w.columns if c != "Height"])
 
 
+@R.add("profiles_csv", f"""with {_GAP}, {_HI}, {_HINGE}, {_pavd_sql('hg', 'pv')} select printf('%.5f', hi * 0.5::double) as Height, printf('%.5f', round(pai, 4) + 0.0) as HingePAI, printf('%.5f', round(pavd, 4) + 0.0) as HingePAVD from pv""")
+def profiles_csv(spark, d):
+    """A profile written as CSV, its text read back."""
+    p = profiles.pavd(profiles.pai_hinge(_gap(spark, d), CUBE), CUBE.hres)
+    path = fresh_path(spark, "profile")
+    rounded = lambda c, name: (F.round(c, 4) + F.lit(0.0)).alias(name)
+    sinks.write_profiles(p.select((F.col("hi") * CUBE.hres).alias("Height"), rounded("pai", "HingePAI"), rounded("pavd", "HingePAVD")), path)
+    return spark.read.option("header", True).csv(path)
+
+
 _LZ, _LH = (math.radians(v) for v in (LEAF_CUBE.min_z, LEAF_CUBE.max_z))
 
 

@@ -28,6 +28,13 @@ def parse_file_names(files: DataFrame, column: str = "file_name") -> DataFrame:
     return files.select(column, *[c.alias(k) for k, c in file_name_fields(F.col(column)).items()])
 
 
+def discovered(files: DataFrame, scan_type: str) -> DataFrame:
+    """file_name, file_id (the first received) of the scan files of one type,
+    sorted by name."""
+    ok = F.col("file_name").rlike(SCAN_NAME) & (F.regexp_extract("file_name", SCAN_NAME, 3) == scan_type)
+    return files.where(ok).groupBy("file_name").agg(F.min("file_id").alias("file_id")).orderBy("file_name")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of the files under `path`: file_id (a hash of the path), file_name,
     line_no, line_text.

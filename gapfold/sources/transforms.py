@@ -1,7 +1,7 @@
 """Side inputs of a scan: transform files, poses, and vendor formats.
 
-These are a few numbers per scan, read on the driver into the `scans`
-dimension.
+These are a few numbers per scan. Single files are read on the driver; folders of
+them are read like any table, into the `scans` dimension.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 COLUMNS = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["tx", "ty", "tz"]
 
@@ -40,6 +41,40 @@ def read_pose(path: str) -> dict[str, float]:
     return {f"r{i}{j}": float(m[i, j]) for i in range(3) for j in range(3)} | {"tx": 0.0, "ty": 0.0, "tz": 0.0}
 
 
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files in folders scan_id=<name>: scan_id, value."""
+    return spark.read.schema("value string, scan_id string").text(path, wholetext=True)
+
+
+def read_transforms(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
+    """The transform files (four lines of four numbers) in the folders
+    scan_id=<name> under `path`, as the scans dimension. A file that does not hold
+    16 numbers is an error. single=True rounds to single precision."""
+    n = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    kind = "float" if single else "double"
+    at = lambda i, j: F.get("n", F.lit(4 * i + j)).cast(kind).cast("double")
+    cols = [at(j, i).alias(f"r{i}{j}") for i in range(3) for j in range(3)] + [at(i, 3).alias(f"t{a}") for i, a in enumerate("xyz")]
+    ok = F.when(F.size("n") != 16, F.raise_error(F.concat(F.lit("not a 4 x 4 matrix: "), "scan_id"))).otherwise(F.col("scan_id"))
+    return _texts(spark, path).select("scan_id", n.alias("n")).select(ok.alias("scan_id"), *cols)
+
+
+def write_transforms(scans: DataFrame, path: str) -> None:
+    """The scans' transforms as such files."""
+    row = lambda i: F.concat_ws(" ", *[F.col(f"r{j}{i}").cast("string") for j in range(3)], F.col(f"t{'xyz'[i]}").cast("string"))
+    scans.select("scan_id", F.concat_ws("\n", *[row(i) for i in range(3)], F.lit("0 0 0 1")).alias("value")).write.mode("overwrite").partitionBy("scan_id").text(path)
+
+
+def read_poses(spark: SparkSession, path: str) -> DataFrame:
+    """scan_id, pitch, roll, yaw of the pose files under `path`; a missing or NaN
+    yaw is NULL."""
+    p = _texts(spark, path).select("scan_id", F.from_json("value", "pitch double, roll double, yaw double").alias("p")).select("scan_id", "p.*")
+    return p.withColumn("yaw", F.when(~F.isnan("yaw"), F.col("yaw")))
+
+
+def write_poses(scans: DataFrame, path: str) -> None:
+    scans.select("scan_id", F.to_json(F.struct("pitch", "roll", "yaw")).alias("value")).write.mode("overwrite").partitionBy("scan_id").text(path)
+
+
 def scans(spark: SparkSession, transforms: dict[str, dict[str, float]]) -> DataFrame:
     """The scans dimension from scan_id to transform."""
     rows = [(k, *[t[c] for c in COLUMNS]) for k, t in transforms.items()]
@@ -55,3 +90,11 @@ def read_vendor(path: str) -> DataFrame:
     vendor's library; the interchange is Parquet in the pulses and points
     schemas."""
     raise VendorFormat(f"{path}: needs the scanner vendor's library; convert to Parquet (tables pulses and points_rdb) first")
+
+
+def manifest(scans: DataFrame, pulses: DataFrame, points: DataFrame) -> DataFrame:
+    """scan_id, kind, path, n_pulses, n_points: what there is of each scan."""
+    out = scans.select("scan_id", "kind", "path")
+    for name, df in (("n_pulses", pulses), ("n_points", points)):
+        out = out.join(df.groupBy("scan_id").agg(F.count(F.lit(1)).alias(name)), "scan_id", "left")
+    return out.fillna(0, ["n_pulses", "n_points"])
