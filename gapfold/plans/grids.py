@@ -77,14 +77,14 @@ def scan_grid(spark, d):
 
 
 @R.add("grid_overview", f"""with g as ({_cart_sql('reflectance', 'avg').replace('round(avg(v), 6) + 0.0 as value', 'avg(v) as value')})
-    select z, y // 4 as y, x // 4 as x, {r6s('avg(value)', 'value')} from g group by all""")
+    select z, y // 4 as y, x // 4 as x, {r6s('avg(value)', 'value', 9)} from g group by all""")
 def grid_overview(spark, d):
     g = grids.overview(grids.cartesian(moved(spark, d), 0.5, F.col("reflectance"), "MEAN"), 4)
-    return g.select("z", "y", "x", r6("value", "value"))
+    return g.select("z", "y", "x", r6("value", "value", 9))
 
 
 _BASE = f"g as ({_cart_sql('reflectance', 'avg').replace('round(avg(v), 6) + 0.0 as value', 'avg(v) as value')})"
-_PYRAMID = " union all ".join(f"select {f} as factor, z as band, y // {f} as row, x // {f} as col, {r6s('avg(value)', 'value')}, 'Reflectance' as description from g group by all" for f in (1, 2, 4, 8))
+_PYRAMID = " union all ".join(f"select {f} as factor, z as band, y // {f} as row, x // {f} as col, {r6s('avg(value)', 'value', 9)}, 'Reflectance' as description from g group by all" for f in (1, 2, 4, 8))
 
 
 @R.add("grid_pyramid", f"with {_BASE} {_PYRAMID}")
@@ -93,7 +93,7 @@ def grid_pyramid(spark, d):
     path = fresh_path(spark, "pyramid")
     sinks.write_pyramid(grids.cartesian(moved(spark, d), 0.5, F.col("reflectance"), "MEAN"), path, ["Reflectance"])
     g = spark.read.parquet(path)
-    return g.select("factor", "band", "row", "col", r6("value", "value"), "description")
+    return g.select("factor", "band", "row", "col", r6("value", "value", 9), "description")
 
 
 _MINZ = f"""{MOVED}, c as (select {fd('25 - y', 5.0)} as yi, {fd('x - (-25)', 5.0)} as xi, x, y, z, range, scan_id, riegl_id from tp where not isnan(z)),
