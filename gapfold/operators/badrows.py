@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from gapfold.operators.leaf_layout import file_layouts, is_body
 from gapfold.operators.sharded import checked_side
-from gapfold.session import written
+from gapfold.session import Scratch, written
 
 QUOTE_COST, DELIM_COST = 1 << 40, 1 << 16
 _INF = 1 << 60
@@ -276,9 +276,9 @@ def _sound(fields: Column, count_at: Column, time_at: Column) -> Column:
     return F.coalesce((missing(count_at) | good_count) & (missing(time_at) | good_time), F.lit(False))
 
 
-def layouts_of(lines: DataFrame) -> DataFrame:
+def layouts_of(lines: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """file_layouts, written: they serve several branches."""
-    return written(file_layouts(lines.select("file_id", "line_no", "line_text")), "layouts")
+    return written(file_layouts(lines.select("file_id", "line_no", "line_text")), "layouts", scratch)
 
 
 def _rows(lines: DataFrame, layouts: DataFrame) -> DataFrame:
@@ -318,19 +318,19 @@ def parse_lines(lines: DataFrame, layouts: DataFrame | None = None) -> DataFrame
     return plain.unionByName(_edited(rows))
 
 
-def bad_rows(lines: DataFrame) -> DataFrame:
+def bad_rows(lines: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
     """The lines set apart: file_id, line_no, reason, edits. Clean lines leave
     the plan at their filter."""
-    return _edited(_rows(lines, layouts_of(lines))).where("reason is not null").select("file_id", "line_no", "reason", "edits")
+    return _edited(_rows(lines, layouts_of(lines) if layouts is None else layouts)).where("reason is not null").select("file_id", "line_no", "reason", "edits")
 
 
-def good_rows(lines: DataFrame) -> DataFrame:
+def good_rows(lines: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
     """The rows that load, typed by the LEAF layout.
 
     sample_count and sample_time are sound by definition; any other field that
     is no number, is -1.0 or is absent from the file becomes NULL.
     """
-    p = parse_lines(lines).where("reason is null")
+    p = parse_lines(lines, layouts).where("reason is null")
     value = lambda f: F.trim(F.get("values", (F.array_position("fields", f) - 1).cast("int")))
     number = lambda f: F.nullif(value(f).try_cast("double"), F.lit(-1.0))
     return p.select(

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gapfold.operators.badrows import bad_rows, good_rows
+from gapfold.operators.badrows import bad_rows, good_rows, layouts_of
+from gapfold.session import Scratch
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -27,9 +28,11 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, once: bo
     folder batch=<number>."""
 
     def write(batch: DataFrame, number: int) -> None:
-        lines = _lines(batch)
-        good_rows(lines).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
-        bad_rows(lines).write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
+        lines, scratch = _lines(batch), Scratch(batch.sparkSession)
+        layouts = layouts_of(lines, scratch)
+        good_rows(lines, layouts).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+        bad_rows(lines, layouts).write.mode("overwrite").parquet(f"{out}/rejects/batch={number}")
+        scratch.clear()
 
     files = spark.readStream.format("binaryFile").schema(_FILES).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.csv").load(folder)
     w = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
