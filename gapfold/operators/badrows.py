@@ -265,15 +265,21 @@ def _kernel(batches):
             [*[b.column(b.schema.get_field_index(c)) for c in kept], *[pa.array([g[i] for g in got], t) for i, t in enumerate(types)]], [*kept, *[f.name for f in _RESULT]])
 
 
+def _without_cr(text: Column) -> Column:
+    return F.when(text.endswith("\r"), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+
+
 def _sound(fields: Column, count_at: Column, time_at: Column) -> Column:
+    """Are sample_count and sample_time (where the layout has them) sound? The
+    plain notations are told by one expression each; only others are worked out."""
     count, time = F.get(fields, count_at), F.get(fields, time_at)
     digits = F.regexp_replace(F.trim(F.translate(count, "\t", " ")), r"^\+?0*", "")
-    good_count = count.rlike(r"^[ \t]*\+?[0-9]+[ \t]*\z") & (F.length(digits) <= 10) & (
-        F.coalesce(F.expr("null").cast("long"), F.when(digits == "", F.lit(0)).otherwise(F.when(F.length(digits) <= 10, digits).cast("long"))) <= 2147483647)
+    whole = F.when(digits == "", F.lit(0)).otherwise(F.when(F.length(digits) <= 10, digits).try_cast("long"))
+    good_count = count.rlike(r"^[ \t]*[0-9]{1,9}[ \t]*\z") | count.rlike(r"^[ \t]*\+?[0-9]+[ \t]*\z") & F.coalesce(whole <= 2147483647, F.lit(False))
     number = F.trim(F.translate(time, "\t", " "))
-    good_time = time.rlike(r"^[ \t]*\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*\z") & (number.try_cast("double") < F.lit(float("inf")))
-    missing = lambda at: at < 0
-    return F.coalesce((missing(count_at) | good_count) & (missing(time_at) | good_time), F.lit(False))
+    good_time = time.rlike(r"^[ \t]*[0-9]{1,15}(\.[0-9]{0,15})?[ \t]*\z") | time.rlike(r"^[ \t]*\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?[ \t]*\z") & (
+        number.try_cast("double") < F.lit(float("inf")))
+    return F.coalesce(((count_at < 0) | good_count) & ((time_at < 0) | good_time), F.lit(False))
 
 
 def layouts_of(lines: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -291,7 +297,7 @@ def _rows(lines: DataFrame, layouts: DataFrame) -> DataFrame:
         F.coalesce(F.array_position("fields", "sample_time") - 1, F.lit(-1)).cast("int").alias("time_at")),
         F.octet_length(F.array_join("names", ",")) + F.octet_length(F.array_join("fields", ",")) + 64 * F.size("names"))
     own = lines.select("file_id", "line_no", "line_text")
-    a, b = own.where(is_body(F.col("line_text"))).withColumn("text", F.regexp_replace("line_text", r"\r\z", "")).alias("a"), side.alias("b")
+    a, b = own.where(is_body(F.col("line_text"))).withColumn("text", _without_cr(F.col("line_text"))).alias("a"), side.alias("b")
     rows = a.join(b, F.col("a.file_id").eqNullSafe(F.col("b.file_id")), "inner").select("a.file_id", "line_no", "text", "names", "fields", "n", "count_at", "time_at")
     split = F.split("text", ",", -1)
     return rows.withColumn("clean", F.coalesce(~F.col("text").contains('"') & (F.size(split) == F.col("n")) & _sound(split, F.col("count_at"), F.col("time_at")), F.lit(False)))

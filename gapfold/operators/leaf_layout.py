@@ -22,7 +22,7 @@ def is_comment(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """NULL counts as blank."""
-    return F.coalesce(F.trim(F.translate(text, "\t\r\n\x0b\x0c", "     ")) == "", F.lit(True))
+    return F.coalesce(~text.rlike(r"[^ \t\r\n\x0B\f]"), F.lit(True))
 
 
 def is_body(text: Column) -> Column:
