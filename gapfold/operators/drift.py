@@ -39,6 +39,10 @@ SHARD_DAYS = 30
 MAX_NAMES = 10_000
 
 
+# The common notations, told first: they are never missing.
+_SHORT_INTEGER, _SHORT_DECIMAL = r"^[0-9]{1,15}\z", r"^[0-9]{1,9}\.[0-9]{1,6}\z"
+
+
 def _value(field: str) -> Column:
     return F.trim(F.get("values", (F.array_position("fields", field) - 1).cast("int")))
 
@@ -51,7 +55,7 @@ def is_missing(value: Column) -> Column:
 def level(value: Column) -> Column:
     """Place on the log's lattice of one text value; NULL for a missing one."""
     plain = value.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)\z")
-    return F.when(is_missing(value), None).when(~plain, 2).when(value.contains("."), 1).otherwise(0)
+    return F.when(value.rlike(_SHORT_INTEGER), 0).when(value.rlike(_SHORT_DECIMAL), 1).when(is_missing(value), None).when(~plain, 2).when(value.contains("."), 1).otherwise(0)
 
 
 def holders(value: Column) -> Column:
@@ -61,7 +65,7 @@ def holders(value: Column) -> Column:
     digits = F.length(F.regexp_replace(F.regexp_replace(value, r"[eE].*$|[.+-]", ""), r"^0+|0+$", ""))
     size = F.abs(value.try_cast("double"))
     safe = (digits <= 15) & ((size == 0) & (digits == 0) | size.between(1e-290, 1e290))
-    return (F.when(is_missing(value), None)
+    return (F.when(value.rlike(_SHORT_INTEGER), 15).when(value.rlike(_SHORT_DECIMAL), 10).when(is_missing(value), None)
             .when(value.rlike(r"^[+-]?[0-9]+\z"), F.when(whole <= 15, 15).when(whole <= 18, 13).when(whole <= 38, 12).otherwise(8))
             .when(value.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z") & F.coalesce(safe, F.lit(False)), 10).otherwise(8))
 
