@@ -184,12 +184,12 @@ def fragment_records(fragments: DataFrame) -> DataFrame:
 
 def _plain_line(record: Column) -> Column:
     """The numbers of a line of plain fields, written as exact_number does, by
-    a few passes over the whole line."""
-    t = F.regexp_replace(record, r"(?<=^|,|-)(?=\.)", "0")
-    t = F.regexp_replace(t, r"(\.[0-9]*?)0+(?=,|$)", "$1")
-    t = F.regexp_replace(t, r"\.(?=,|$)", "")
-    t = F.regexp_replace(t, r"(?<=^|,|-)0+(?=[0-9])", "")
-    return F.regexp_replace(t, r"-0(?=,|$)", "0")
+    passes over the whole line: one for zeros behind a point, and three more only
+    where zeros or a point lead."""
+    odd = record.rlike(r"(^|,|-)(0[0-9]|\.)|-0")
+    short = lambda t: F.regexp_replace(t, r"\.0*(?=,|\z)|(\.[0-9]*[1-9])0+(?=,|\z)", "$1")
+    led = F.regexp_replace(short(F.regexp_replace(record, r"(?<=^|,|-)(?=\.)", "0")), r"(?<=^|,|-)0+(?=[0-9])", "")
+    return F.when(odd, F.regexp_replace(led, r"-0(?=,|\z)", "0")).otherwise(short(record))
 
 
 def record_numbers(record: Column) -> Column:
