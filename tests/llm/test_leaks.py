@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import pyarrow as pa
 import regex
 
 from gapfold.llm import leaks
@@ -72,3 +74,55 @@ def test_long_text_and_repeats(spark):
     d = spark.createDataFrame([(1, "z " * 400_000 + p + " q " + p), (1, p), (2, p.replace("w5", "w6"))], "doc_id long, text string")
     e = spark.createDataFrame([(1, p, ""), (2, "start " + p + " end", "")], "item_id long, prompt string, answer string")
     assert sorted(map(tuple, leaks.leaked_items(d, e).collect())) == [(1, 1), (1, 2)]
+
+
+def test_passages_do_not_depend_on_the_size_of_the_items(spark):
+    rng = random.Random(8)
+    sep = [" ", ", ", "\n+", "_", " – ", "­", "́ ", "("]
+    pool = ["alpha", "beta", "straße", "école", "ﬁn", "我们的", "7"]
+    say = lambda n: "".join((rng.choice(pool).upper() if rng.random() < 0.3 else rng.choice(pool)) + rng.choice(sep) for _ in range(n))
+    docs = [(i, say(rng.randint(0, 60))) for i in range(60)]
+    docs += [*docs[:20], *docs[:5], *[(i, say(40)) for i in range(10)], (None, docs[7][1]), (None, docs[8][1]), (900, None), (901, "")]
+    items = [(i % 20, say(rng.randint(3, 40)), rng.choice([None, "", say(20)])) for i in range(25)] + [(None, say(20), None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).selectExpr("*", "1 as item_id", "'x' as row", "2 as start")
+    e = spark.createDataFrame(items, "item_id long, prompt string, answer string").selectExpr("*", "'t' as text", "3 as doc_id")
+    for words in (1, 3, 4):
+        own = leaks.leaked_spans(d, e, words=words)
+        met = leaks.leaked_spans(d, e, words=words, limit=0)
+        want = Counter(map(tuple, own.collect()))
+        assert Counter(map(tuple, met.collect())) == want and [f[:2] for f in met.dtypes] == own.dtypes
+        assert max(r[4] for r in want) > words and max(want.values()) >= 3
+
+
+def test_windows_of_a_long_text_go_to_the_join_in_parts(monkeypatch):
+    b = pa.RecordBatch.from_arrays([pa.array([5, None, 6]), pa.array(["a b c d e f g", None, "h i j"])], ["doc_id", "text"])
+    whole = [r for x in leaks._window_kernel(2, True, 1)([b]) for r in x.to_pylist()]
+    monkeypatch.setattr(leaks, "WINDOW_ROWS", 3)
+    parts = list(leaks._window_kernel(2, True, 1)([b]))
+    assert [x.num_rows for x in parts] == [3, 3, 2] and [r for x in parts for r in x.to_pylist()] == whole
+    assert [(r["id"], r["first"]) for r in whole] == [(5, 0), (5, 1), (5, 2), (5, 3), (5, 4), (5, 5), (6, 0), (6, 1)]
+
+
+def test_a_sieve_keeps_every_window_of_an_item(spark, monkeypatch):
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randint(0, 400)}" for _ in range(n))
+    items = [(i, say(60)) for i in range(20)]
+    docs = [(i, say(200) + " " + items[i % 20][1][:120]) for i in range(60)]
+    e = spark.createDataFrame(items, "item_id long, prompt string").selectExpr("*", "cast(null as string) as answer")
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    want = Counter(map(tuple, leaks.leaked_spans(d, e, words=4).collect()))
+    sieve = lambda: spark.sparkContext.broadcast(leaks._sieve(leaks._windows(e, "item_id", ["prompt"], 4, True).select("mark")))
+    every = leaks._windows(d, "doc_id", ["text"], 4, True).count()
+    through = leaks._windows(d, "doc_id", ["text"], 4, True, sieve()).count()
+    assert sum(r[4] - 3 for r in want) <= through < every / 5
+    monkeypatch.setattr(leaks, "SIEVE_BITS", 64)  # full: all come to the join
+    assert leaks._windows(d, "doc_id", ["text"], 4, True, sieve()).count() == every
+    assert Counter(map(tuple, leaks.leaked_spans(d, e, words=4, limit=0).collect())) == want
+
+
+def test_items_of_more_words_than_the_alphabet_has_letters(spark):
+    p = " ".join(f"{i:x}" for i in range(1_050_000))
+    assert len(p) < leaks.ITEM_BYTES
+    d = spark.createDataFrame([(1, "see " + p[-200:] + " end"), (2, "nothing")], "doc_id long, text string")
+    e = spark.createDataFrame([(7, p)], "item_id long, prompt string")
+    assert [tuple(r) for r in leaks.leaked_items(d, e).collect()] == [(1, 7)]
